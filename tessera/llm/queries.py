@@ -8,10 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .byte_bpe import roundtrip_digests
+from .packing import pack
 from .quality import quality_rules
 from .sharding import shard_by_bytes
 from .simhash import simhash_dedup
 from .suffix_dedup import suffix_dedup
+from .token_counts import token_counts
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,12 +52,21 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return roundtrip_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_counts": op2_token_counts,
+        "op3_packing": op3_packing,
         "op4_sharding": op4_sharding,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_simhash_dedup": op8_simhash_dedup,
         "op9_quality_rules": op9_quality_rules,
+        "op10_byte_bpe": op10_byte_bpe,
     }
 
 

@@ -11,7 +11,7 @@ def test_balance_slots_and_groups(spark):
     rows += [(None, "a", 0), (None, None, 0), (7, None, 0), (8, "", 0), (8, "", 0)]
     got = shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string, size int"), 24).collect()
     assert len(got) == len(rows)
-    assert sorted((r.doc_id or -1, r.text_crc32, r.size) for r in got) == sorted((-1 if i is None else i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 8) for i, t, _ in rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text_crc32, r.size) for r in got) == sorted((-1 if i is None else i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 8) for i, t, _ in rows)
     by = {}
     for r in got:
         by.setdefault(r.shard, []).append(r)
