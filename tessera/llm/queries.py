@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .byte_bpe import roundtrip_digests
+from .html_text import extract_text
+from .nearest import nearest
 from .packing import pack
 from .quality import quality_rules
 from .sharding import shard_by_bytes
 from .simhash import simhash_dedup
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -23,6 +26,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -36,6 +44,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup(table(spark, sf_dir, "documents"))
     return found.select(
@@ -60,9 +76,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_nearest": op1_nearest,
         "op2_token_counts": op2_token_counts,
         "op3_packing": op3_packing,
         "op4_sharding": op4_sharding,
+        "op5_html_text": op5_html_text,
+        "op6_toxicity": op6_toxicity,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_simhash_dedup": op8_simhash_dedup,
         "op9_quality_rules": op9_quality_rules,
