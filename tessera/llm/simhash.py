@@ -8,6 +8,9 @@ Two nodes whose shared bits differ too often are pruned with all that is below t
 compared bit by bit.  Links join components at once, and pairs of leaves that are in one component already are
 skipped, so a dense group never emits its pairs: an index returns a star for each component.
 
+``near_duplicate_filter`` asks for a similarity of shingle sets instead of a radius.  Its fingerprints are longer, and
+its tables are drawn at random, because no set of bands guarantees so wide a radius; the index is the same.
+
 Defined results: null text is empty; a text without words has fingerprint zero and links like any other; null ids
 sort first (a component with one has a null ``component_id``); rows that repeat an id are kept, each with its own
 fingerprint; an empty table gives an empty result; extra columns are ignored.
@@ -16,6 +19,7 @@ fingerprint; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,19 +40,41 @@ SEED = 42
 U = np.uint64
 
 
+def fingerprint_words(data: bytes, shingle: int, words64: int) -> np.ndarray:
+    """A fingerprint of ``words64`` times 64 bits; the first 64 are those of ``fingerprint``."""
+    h = shingle_hashes(data, shingle)
+    if not len(h):
+        return np.zeros(words64, U)
+    more = [h]
+    for k in range(1, words64):
+        x = h + U(k * 0x9E3779B97F4A7C15 & 2**64 - 1)
+        x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+        more.append(x ^ (x >> U(31)))
+    return np.array([_majority(x) for x in more], U)
+
+
+def _majority(h: np.ndarray) -> int:
+    n = len(h)
+    ones = np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view(U)[0])
+
+
 def fingerprint(data: bytes, shingle: int) -> int:
+    h = shingle_hashes(data, shingle)
+    return _majority(h) if len(h) else 0
+
+
+def shingle_hashes(data: bytes, shingle: int) -> np.ndarray:
     words = data.lower().split()  # bytes: A-Z only, and exactly the six ASCII white space characters
     if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
+        return np.zeros(0, U)
     joined = b" ".join(words)
     ends = list(itertools.accumulate(map(len, words), lambda a, b: a + b + 1))
     starts = [0, *(e + 1 for e in ends)]
     ends = ends[shingle - 1 :] or [len(joined)]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends)], U)
-    ones = np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(U)[0])
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends)], U)
 
 
 def _fingerprints(shingle: int):
@@ -66,6 +92,10 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a & b).sum(1, dtype=np.int64)
+
+
 class _Level:
     """Nodes of one level: first child, number of children, bits that all share and their values."""
 
@@ -98,7 +128,12 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def index_components(key: np.ndarray, code: np.ndarray, radius: int) -> np.ndarray:
-    """Rows sorted by (key, Gray rank of code) -> the first row of each row's component among the rows of its key."""
+    """Rows sorted by (key, Gray rank of code) -> the first row of each row's component among the rows of its key.
+
+    ``code`` may hold several words to a row.
+    """
+    code = code.reshape(len(key), -1)
+    limit = max(1, PAIRS // code.shape[1])
     levels = [_Level(key, code, ~code)]
     while len(np.unique(levels[-1].key)) < len(levels[-1].key):
         levels.append(_Level(levels[-1].key, levels[-1].ones, levels[-1].zeros))
@@ -113,7 +148,7 @@ def index_components(key: np.ndarray, code: np.ndarray, radius: int) -> np.ndarr
             k = ~(same(a) & same(b) & (label[level.first[a]] == label[level.first[b]]))
             a, b = a[k], b[k]
         per = level.count[a] * level.count[b]
-        cut = np.searchsorted(np.cumsum(per), PAIRS, side="left") + 1
+        cut = np.searchsorted(np.cumsum(per), limit, side="left") + 1
         if cut < len(a):
             stack.append((depth, a[cut:], b[cut:]))
             a, b, per = a[:cut], b[:cut], per[:cut]
@@ -124,20 +159,20 @@ def index_components(key: np.ndarray, code: np.ndarray, radius: int) -> np.ndarr
         width = level.count[b][pair]
         x, y = level.first[a][pair] + nth // width, level.first[b][pair] + nth % width
         if depth == 0:
-            k = (x < y) & (np.bitwise_count(code[x] ^ code[y]) <= radius)
+            k = (x < y) & (np.bitwise_count(code[x] ^ code[y]).sum(1, dtype=np.int64) <= radius)
             label = _unite(label, x[k], y[k])
         else:
             below = levels[depth - 1]
-            apart = np.bitwise_count(below.ones[x] & below.zeros[y]) + np.bitwise_count(below.zeros[x] & below.ones[y])
+            apart = _differ(below.ones[x], below.zeros[y]) + _differ(below.zeros[x], below.ones[y])
             k = (x <= y) & (apart <= radius)
             stack.append((depth - 1, x[k], y[k]))
     return label
 
 
-def _stars(radius: int):
-    def solve(key: np.ndarray, code: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-        code = code.view(U)
-        s = np.lexsort((gray_rank(code), key))
+def _stars(radius: int, words64: int = 1):
+    def solve(key: np.ndarray, node: np.ndarray, *words: np.ndarray) -> pa.RecordBatch:
+        code = np.stack(words, 1).view(U)
+        s = np.lexsort((*(gray_rank(code[:, k]) for k in reversed(range(words64))), key))
         key, code, node = key[s], code[s], node[s]
         label = index_components(key, code, radius)
         least = np.full(len(node), np.iinfo(np.int64).max)
@@ -150,14 +185,14 @@ def _stars(radius: int):
         held: list[tuple] = []
         n = 0
         for b in batches:
-            held.append(tuple(b.column(i).to_numpy() for i in range(3)))
+            held.append(tuple(b.column(i).to_numpy() for i in range(2 + words64)))
             n += b.num_rows
             if n >= ROWS:
-                key, code, node = (np.concatenate(x) for x in zip(*held))
-                cut = int(np.searchsorted(key, key[-1]))
+                columns = [np.concatenate(x) for x in zip(*held)]
+                cut = int(np.searchsorted(columns[0], columns[0][-1]))
                 if cut:
-                    yield solve(key[:cut], code[:cut], node[:cut])
-                held, n = [(key[cut:], code[cut:], node[cut:])], len(key) - cut
+                    yield solve(*(c[:cut] for c in columns))
+                held, n = [tuple(c[cut:] for c in columns)], len(columns[0]) - cut
         if n:
             yield solve(*(np.concatenate(x) for x in zip(*held)))
 
@@ -179,7 +214,7 @@ def fingerprint_components(prints: DataFrame, radius: int = 3) -> DataFrame:
     if not 0 <= radius <= 6:
         raise ValueError("radius must be 0 to 6: more bands leave too few bits to a key")
     nodes = prints.groupBy("fp").agg(F.min("id").alias("node"))
-    sent = nodes.select(F.explode(band_keys(F.col("fp"), radius)).alias("key"), "fp", "node")
+    sent = nodes.select(F.explode(band_keys(F.col("fp"), radius)).alias("key"), "node", "fp")
     edges = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_stars(radius), "u long, v long")
     roots = connected_components(edges)
     return nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
@@ -192,3 +227,65 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     out = prints.join(fingerprint_components(prints, radius), "fp")
     return out.select(null_again("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), null_again("root").alias("component_id"))
+
+
+def _wide_fingerprints(shingle: int, words64: int):
+    names = ["id", *(f"w{k}" for k in range(words64))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.array([fingerprint_words(t or b"", shingle, words64) for t in b.column(1).to_pylist()], U).reshape(b.num_rows, words64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(found[:, k]) for k in range(words64))], names=names)
+
+    return run
+
+
+def _sampled_keys(words64: int, bits: int, tables: int):
+    """Keys of some bits each, drawn once for all (the draw depends only on the numbers asked for)."""
+    chosen = [np.random.default_rng([7, t]).choice(64 * words64, bits, replace=False) for t in range(tables)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code = np.stack([b.column(1 + k).to_numpy() for k in range(words64)], 1).view(U) if b.num_rows else np.zeros((0, words64), U)
+            for t, own in enumerate(chosen):
+                key = np.full(len(code), t, U)
+                for bit in own:
+                    key = (key << U(1)) | ((code[:, bit // 64] >> U(bit % 64)) & U(1))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *b.columns], names=["key", "node", *(f"w{k}" for k in range(words64))])
+
+    return run
+
+
+def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words64: int = 4, missed: float = 0.03, sigmas: float = 1.5):
+    """Components of texts whose sets of shingles are alike: (written prints, (w0.., root)).
+
+    A similarity of ``similarity`` means an angle, and the angle the share of bits in which fingerprints differ on
+    average; texts are linked at that many differing bits plus ``sigmas`` standard deviations.  That is far more than
+    bands can guarantee, so keys are bits drawn at random, as many as leave about 64 texts to a key, in so many tables
+    that two texts just alike enough meet in none with a probability of ``missed``.
+    """
+    bits_all = 64 * words64
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = int(bits_all * share + sigmas * math.sqrt(bits_all * share * (1 - share)))
+    names = [f"w{k}" for k in range(words64)]
+    rows = docs.select(id_column(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    prints = written(rows.mapInArrow(_wide_fingerprints(shingle, words64), "id long, " + ", ".join(f"{n} long" for n in names)), "prints")
+    nodes = prints.groupBy(*names).agg(F.min("id").alias("node")).select("node", *names)
+    bits = max(8, round(math.log2(max(2, prints.count()))) - 6)
+    tables = math.ceil(math.log(missed) / math.log1p(-((1 - share) ** bits)))
+    columns = "node long, " + ", ".join(f"{n} long" for n in names)
+    sent = nodes.mapInArrow(_sampled_keys(words64, bits, tables), f"key long, {columns}")
+    edges = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_stars(radius, words64), "u long, v long")
+    roots = connected_components(edges)
+    return prints, nodes.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicate_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without those near another of smaller id: of each component the smallest id stays.
+
+    Rows that repeat both id and text stay once; rows that repeat the id that stays with another text stay too.
+    """
+    _, roots = similarity_components(docs, id_col, text_col, shingle, similarity)
+    stay = roots.select(F.col("root").alias("id_")).distinct()
+    rows = docs.withColumns({"id_": id_column(id_col), "tie_": F.xxhash64(F.col(text_col))})
+    return rows.join(stay, "id_", "left_semi").dropDuplicates(["id_", "tie_"]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -256,11 +256,11 @@ def _sort_suffixes(length: int):
     return run
 
 
-def _cut(length: int, whole_chars: bool):
+def _cut(length: int, whole_chars: bool, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_bytes, spans, kept = [], [], []
-            for text, wanted in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for text, wanted in zip(b.column("text").to_pylist(), b.column("gone").to_pylist()):
                 data = (text or "").encode()
                 step = np.zeros(len(data) + 1, np.int32)
                 for w in wanted or ():
@@ -275,27 +275,31 @@ def _cut(length: int, whole_chars: bool):
                 spans.append([{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2])])
                 kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes())
             yield _batch(
-                ["doc", "n_bytes", "spans", "kept"], b.column(0), pa.array(n_bytes, pa.int64()),
+                ["doc", *keep, "n_bytes", "spans", "kept"], b.column("doc"), *(b.column(c) for c in keep), pa.array(n_bytes, pa.int64()),
                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()),
             )
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, whole_chars: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, whole_chars: bool = False, keep: bool = False) -> DataFrame:
     """Per row of ``docs``: id, ``n_bytes``, removed ``spans`` (start, end in bytes) and the ``kept`` bytes.
 
+    With ``keep`` a column ``row`` holds the other columns of ``docs``.
+
     ``whole_chars`` leaves characters whole of which only some bytes would go.
     """
     if not 2 * GRAM <= length <= 127:
         raise ValueError("length must be 64 to 127 bytes")
-    docs = docs.select(id_column(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)), F.lit(None).cast("int").alias("_"))
+    whole = docs.select(id_column(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), *([others.alias("row")] if keep else []))
+    docs = whole.select("doc", "text")
     places = docs.mapInArrow(_find_anchors(length), "gram long, context long, doc long, place long")
     sifted = written(
         places.repartition("gram").sortWithinPartitions("gram", "context", "doc", "place").mapInArrow(_sift, "gram long, doc long, place long, sure boolean"), "anchors"
     )
     tie = F.col("place").bitwiseAND(TIE)
-    with_tie = docs.withColumn("tie", F.crc32(F.coalesce("text", F.lit(""))).bitwiseAND(TIE))
+    with_tie = whole.withColumn("tie", F.crc32(F.coalesce("text", F.lit(""))).bitwiseAND(TIE))
     questions = sifted.where("not sure").groupBy("doc", tie.alias("tie")).agg(F.collect_list(F.struct("gram", "place")).alias("wanted"))
     contexts = with_tie.join(questions, ["doc", "tie"]).select("doc", "text", "wanted").mapInArrow(_read_contexts(length), "gram long, doc long, place long, bytes binary")
     solved = contexts.repartition("gram").sortWithinPartitions("gram", "doc", "place").mapInArrow(_sort_suffixes(length), "doc long, tie long, start long, windows long")
@@ -303,7 +307,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc", tie.alias("tie"), F.shiftrightunsigned("place", 32).alias("start"), F.shiftrightunsigned("place", 25).bitwiseAND(127).alias("windows")
     )
     gone = sure.unionByName(solved).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "windows")).alias("gone"))
-    out = with_tie.join(gone, ["doc", "tie"], "left").select("doc", "text", "gone").mapInArrow(
-        _cut(length, whole_chars), "doc long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
+    kind = f"row {whole.schema['row'].dataType.simpleString()}, " if keep else ""
+    carried = ["row"] if keep else []
+    out = with_tie.join(gone, ["doc", "tie"], "left").select("doc", "text", "gone", *carried).mapInArrow(
+        _cut(length, whole_chars, carried), f"doc long, {kind}n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
     )
-    return out.select(null_again("doc").alias(id_col), "n_bytes", "spans", "kept")
+    return out.select(null_again("doc").alias(id_col), *carried, "n_bytes", "spans", "kept")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", length: int = 100) -> DataFrame:
+    """``docs`` with the repeated bytes cut out of their texts (whole characters only) and ``count_col`` counted anew."""
+    found = suffix_dedup(docs, id_col, text_col, length, whole_chars=True, keep=True)
+    text = F.col("kept").cast("string")
+    new = {id_col: F.col(f"`{id_col}`"), text_col: text, count_col: F.char_length(text).cast("long")}
+    return found.select(*(new.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
