@@ -14,6 +14,10 @@ suffixes are sorted together that can be equal:
    first block, are equal windows; all but the first of a run are duplicates.
 4. Duplicate windows are gathered by document, which turns them into spans.
 
+A gram that holds a large share of all anchors (``heavy.py``: a list of bounded size) would fill one task.  Its anchors
+are dealt by context and a salt of the document instead, so that copies are settled in many tasks; each of its
+contexts in question is then cut into single windows, which are settled by their hash, again first under a salt.
+
 Defined results: null text is empty; null ids sort first; a text under ``length`` bytes keeps everything; rows
 that repeat an id *and* its text are one document and get the same result; rows that repeat an id with other
 text are told apart by a checksum of the text, and at equal starts the smaller checksum comes first.  Extra
@@ -27,16 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_column, null_again, written
+from .heavy import heavy_keys
 from .suffixes import suffix_array
 
 GRAM, BLOCK, SEGMENT = 32, 14, 1 << 20
-#: Contexts that one suffix array holds; a gram with more goes the way of ``_wide``.
+#: Contexts of different grams that are sorted together at least.
 CONTEXTS = 2000
+#: Anchors that a gram must have to be dealt by context.
 WIDE = 20_000
+SALTS = 64
 TIE = (1 << 18) - 1
 U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
@@ -104,6 +111,16 @@ def _batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
 
+def _grams(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                if text is not None and len(data := text.encode()) >= length:
+                    yield _batch(["gram"], anchors(data, length)[0])
+
+    return run
+
+
 def _find_anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,8 +136,19 @@ def _find_anchors(length: int):
     return run
 
 
-def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stream of anchors sorted by gram, context, doc, place: duplicates (sure) and contexts in question."""
+def _salted(key: str) -> Column:
+    return F.xxhash64(key, F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
+
+
+def _sift(hot: np.ndarray):
+    """Stream of anchors sorted by gram, context, doc, place: duplicates (sure) and contexts in question.
+
+    Of a hot gram a task sees a part only, so that each of its contexts stays in question.
+    """
+    return lambda batches: _sifted(batches, hot)
+
+
+def _sifted(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     before = None  # the last anchor
     opened = None  # the first anchor of its gram, while it isn't known to have another context
     for b in batches:
@@ -136,6 +164,8 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(new_gram)  # 0: goes on from the last batch
         several = np.zeros(group[-1] + 1, bool)
         several[group[more]] = True
+        if len(hot):
+            several[group[np.isin(gram, hot)]] = True
         asked = more | (new_gram & several[group])
         sure = ~new & ~same
         out = [(gram[k], doc[k], place[k], np.full(int(k.sum()), w)) for k, w in ((sure, True), (asked, False))]
@@ -168,6 +198,40 @@ def _read_contexts(length: int):
     return run
 
 
+def _read_windows(length: int):
+    """The single windows of the contexts; ``gram`` is a window's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, text, wanted in zip(*(b.column(i).to_pylist() for i in range(3))):
+                data, out = text.encode(), []
+                for w in wanted:
+                    start, count, _, tie = _unpack(w["place"])
+                    x = np.frombuffer(data, np.uint8, count - 1 + length, start).astype(U)
+                    total = np.zeros(len(x) + 1, U)
+                    np.cumsum((x + U(1)) * _POWER[: len(x)], out=total[1:])
+                    key = _mix((total[length:] - total[:-length]) * _INVERSE[:count])
+                    out.append((key.view(np.int64), _pack(start + np.arange(count), 1, 0, tie)))
+                gram, place = (np.concatenate(x) for x in zip(*out))
+                yield _batch(["gram", "doc", "place"], gram, np.full(len(gram), doc, np.int64), place)
+
+    return run
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stream of windows sorted by gram, doc, place: which ones equal an earlier one; repeated rows leave."""
+    last = None
+    for b in batches:
+        columns = [b.column(i).to_numpy() for i in range(3)]
+        if not b.num_rows:
+            continue
+        last = last or (~columns[0][0], 0, 0)
+        again, doc, place = (x == np.r_[np.int64(v), x[:-1]] for v, x in zip(last, columns))
+        k = ~(again & doc & place)
+        last = tuple(x[-1] for x in columns)
+        yield _batch(["gram", "doc", "place", "again"], *(x[k] for x in columns), again[k])
+
+
 def _digits(text: np.ndarray, at: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A block's bytes as two numbers in base 257; 0 stands for what lies behind the end."""
     halves = []
@@ -294,16 +358,28 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)), F.lit(None).cast("int").alias("_"))
     whole = docs.select(id_column(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), *([others.alias("row")] if keep else []))
     docs = whole.select("doc", "text")
+    hot = heavy_keys(docs.select("text").mapInArrow(_grams(length), "gram long"), WIDE)
+    is_hot = F.col("gram").isin(hot.tolist()) if len(hot) else F.lit(False)
     places = docs.mapInArrow(_find_anchors(length), "gram long, context long, doc long, place long")
-    sifted = written(
-        places.repartition("gram").sortWithinPartitions("gram", "context", "doc", "place").mapInArrow(_sift, "gram long, doc long, place long, sure boolean"), "anchors"
-    )
+    dealt = places.repartition(F.when(is_hot, _salted("context")).otherwise(F.col("gram")) if len(hot) else "gram")
+    sifted = written(dealt.sortWithinPartitions("gram", "context", "doc", "place").mapInArrow(_sift(hot), "gram long, doc long, place long, sure boolean"), "anchors")
     tie = F.col("place").bitwiseAND(TIE)
     with_tie = whole.withColumn("tie", F.crc32(F.coalesce("text", F.lit(""))).bitwiseAND(TIE))
-    questions = sifted.where("not sure").groupBy("doc", tie.alias("tie")).agg(F.collect_list(F.struct("gram", "place")).alias("wanted"))
-    contexts = with_tie.join(questions, ["doc", "tie"]).select("doc", "text", "wanted").mapInArrow(_read_contexts(length), "gram long, doc long, place long, bytes binary")
+
+    def questions(which: Column) -> DataFrame:
+        wanted = sifted.where(~F.col("sure") & which).groupBy("doc", tie.alias("tie")).agg(F.collect_list(F.struct("gram", "place")).alias("wanted"))
+        return with_tie.join(wanted, ["doc", "tie"]).select("doc", "text", "wanted")
+
+    contexts = questions(~is_hot).mapInArrow(_read_contexts(length), "gram long, doc long, place long, bytes binary")
     solved = contexts.repartition("gram").sortWithinPartitions("gram", "doc", "place").mapInArrow(_sort_suffixes(length), "doc long, tie long, start long, windows long")
-    sure = sifted.where("sure").select(
+    sure = sifted.where("sure")
+    if len(hot):
+        kind, order = "gram long, doc long, place long, again boolean", ("gram", "doc", "place")
+        windows = questions(is_hot).mapInArrow(_read_windows(length), "gram long, doc long, place long")
+        some = written(windows.repartition(_salted("gram")).sortWithinPartitions(*order).mapInArrow(_repeats, kind), "windows")
+        rest = some.where("not again").drop("again").repartition("gram").sortWithinPartitions(*order).mapInArrow(_repeats, kind)
+        sure = sure.select("place", "doc").unionByName(some.unionByName(rest).where("again").select("place", "doc"))
+    sure = sure.select(
         "doc", tie.alias("tie"), F.shiftrightunsigned("place", 32).alias("start"), F.shiftrightunsigned("place", 25).bitwiseAND(127).alias("windows")
     )
     gone = sure.unionByName(solved).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "windows")).alias("gone"))

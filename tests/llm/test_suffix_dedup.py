@@ -1,7 +1,9 @@
 import random
 import zlib
 
+from tessera.llm import suffix_dedup as module
 from tessera.llm.suffix_dedup import TIE, suffix_dedup
+from tessera.llm.heavy import heavy_keys
 from tessera.llm.suffixes import suffix_array
 
 
@@ -56,6 +58,31 @@ def test_against_brute_force(spark):
     check(spark, rows)
 
 
+def test_hot_grams_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(module, "WIDE", 5)  # small enough for a fixture: hot grams go by context and by window
+    rng = random.Random(4)
+    phrase = "a phrase of over forty bytes that is found everywhere, "
+    passage = "and a long passage, " + phrase * 2 + "".join(rng.choice("abcdef ") for _ in range(200))
+    rows = []
+    for i in range(200):
+        noise = lambda: "".join(rng.choice("xyzé ") for _ in range(rng.randint(0, 90)))
+        rows.append((i, noise() + rng.choice([phrase, passage, phrase + noise() + passage]) + noise(), None))
+    rows += [(300, rows[5][1], "x"), (300, rows[6][1], "x"), (300, rows[6][1], "x"), (None, passage, None), (301, "a" * 700, "x"), (302, None, None)]
+    found = []
+    monkeypatch.setattr(module, "heavy_keys", lambda *a: found.append(heavy_keys(*a)) or found[-1])
+    check(spark, rows)
+    assert len(found[0]) > 3
+
+
+def test_heavy_keys_are_found_in_bounded_summaries(spark):
+    rng = random.Random(6)
+    keys = [rng.randrange(10**9) for _ in range(6000)] + [-5] * 900 + [7] * 400 + [8] * 3
+    rng.shuffle(keys)
+    got = heavy_keys(spark.createDataFrame([(k,) for k in keys], "k long").repartition(5), 50, 32).tolist()
+    assert -5 in got and len(got) <= 32 and set(got) <= {-5, 7}
+    assert heavy_keys(spark.createDataFrame([], "k long"), 1).tolist() == []
+
+
 def test_repeated_rows_and_empty_table(spark):
     t = "".join(chr(97 + i * 7 % 26) for i in range(130))
     check(spark, [(1, t + "q", None), (1, t + "q", None), (1, "z" + t, None), (2, t, None)])
