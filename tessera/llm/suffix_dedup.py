@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -324,12 +325,13 @@ def _cut(length: int, whole_chars: bool, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_bytes, spans, kept = [], [], []
-            for text, wanted in zip(b.column("text").to_pylist(), b.column("gone").to_pylist()):
+            gone_lists = b.column("gone")
+            packed = gone_lists.flatten().to_numpy()
+            size = pc.fill_null(pc.list_value_length(gone_lists), 0).to_numpy()
+            for text, at, n in zip(b.column("text").to_pylist(), np.cumsum(size) - size, size):
                 data = (text or "").encode()
-                step = np.zeros(len(data) + 1, np.int32)
-                for w in wanted or ():
-                    step[w["start"]] += 1
-                    step[w["start"] + w["windows"] - 1 + length] -= 1
+                start, windows = packed[at : at + n] >> 8, packed[at : at + n] & 255
+                step = np.bincount(start, minlength=len(data) + 1) - np.bincount(start + windows - 1 + length, minlength=len(data) + 1)
                 gone = np.cumsum(step[:-1]) > 0
                 if whole_chars and len(data):  # a character stays unless all its bytes go
                     lead = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
@@ -382,7 +384,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sure = sure.select(
         "doc", tie.alias("tie"), F.shiftrightunsigned("place", 32).alias("start"), F.shiftrightunsigned("place", 25).bitwiseAND(127).alias("windows")
     )
-    gone = sure.unionByName(solved).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "windows")).alias("gone"))
+    gone = sure.unionByName(solved).groupBy("doc", "tie").agg(F.collect_list(F.shiftleft("start", 8).bitwiseOR(F.col("windows"))).alias("gone"))
     kind = f"row {whole.schema['row'].dataType.simpleString()}, " if keep else ""
     carried = ["row"] if keep else []
     out = with_tie.join(gone, ["doc", "tie"], "left").select("doc", "text", "gone", *carried).mapInArrow(
