@@ -44,9 +44,11 @@ def _summaries(most: int):
     return run
 
 
-def heavy_keys(keys: DataFrame, least: int, most: int = 1024) -> np.ndarray:
+def heavy_keys(keys: DataFrame, least: int, most: int | None = None) -> np.ndarray:
     """Sorted keys of the one long column of ``keys`` (without nulls): every key with ``2 / most`` of all rows is
-    among them if ``least`` rows or more hold it beyond what the summaries may miss; never more than ``most`` keys."""
+    among them if ``least`` rows or more hold it beyond what the summaries may miss; never more than ``most`` keys, which is the number of
+    shuffle partitions, 256 at least: a key that isn't among them holds at most about two partitions' share of the rows."""
+    most = most or max(256, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = written(keys.mapInArrow(_summaries(most), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "heavy")
     total = found.where("key is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     large = found.where(F.col("key").isNotNull() & (F.col("n") * most >= total) & (F.col("n") >= least))
