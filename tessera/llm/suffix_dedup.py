@@ -17,6 +17,7 @@ suffixes are sorted together that can be equal:
 A gram that holds a large share of all anchors (``heavy.py``: a list of bounded size) would fill one task.  Its anchors
 are dealt by context and a salt of the document instead, so that copies are settled in many tasks; each of its
 contexts in question is then cut into single windows, which are settled by their hash, again first under a salt.
+Any other gram with more contexts in question than a suffix array should hold goes on as single windows too.
 
 Defined results: null text is empty; null ids sort first; a text under ``length`` bytes keeps everything; rows
 that repeat an id *and* its text are one document and get the same result; rows that repeat an id with other
@@ -39,10 +40,10 @@ from .common import id_column, null_again, written
 from .heavy import heavy_keys
 from .suffixes import suffix_array
 
-GRAM, BLOCK, SEGMENT = 32, 14, 1 << 20
+GRAM, BLOCK, SEGMENT = 32, 14, 1 << 18
 #: Contexts of different grams that are sorted together at least.
 CONTEXTS = 2000
-#: Anchors that a gram must have to be dealt by context.
+#: Anchors that a gram must have to be dealt by context, and contexts that one gram may bring into a suffix array.
 WIDE = 20_000
 SALTS = 64
 TIE = (1 << 18) - 1
@@ -199,6 +200,15 @@ def _read_contexts(length: int):
     return run
 
 
+def _single(context: bytes, place: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of each window of a context."""
+    start, count, _, tie = _unpack(place)
+    x = np.frombuffer(context, np.uint8).astype(U)
+    total = np.zeros(len(x) + 1, U)
+    np.cumsum((x + U(1)) * _POWER[: len(x)], out=total[1:])
+    return _mix((total[length:] - total[:-length]) * _INVERSE[:count]).view(np.int64), _pack(start + np.arange(count), 1, 0, tie)
+
+
 def _read_windows(length: int):
     """The single windows of the contexts; ``gram`` is a window's hash."""
 
@@ -207,12 +217,8 @@ def _read_windows(length: int):
             for doc, text, wanted in zip(*(b.column(i).to_pylist() for i in range(3))):
                 data, out = text.encode(), []
                 for w in wanted:
-                    start, count, _, tie = _unpack(w["place"])
-                    x = np.frombuffer(data, np.uint8, count - 1 + length, start).astype(U)
-                    total = np.zeros(len(x) + 1, U)
-                    np.cumsum((x + U(1)) * _POWER[: len(x)], out=total[1:])
-                    key = _mix((total[length:] - total[:-length]) * _INVERSE[:count])
-                    out.append((key.view(np.int64), _pack(start + np.arange(count), 1, 0, tie)))
+                    start, count, _, _ = _unpack(w["place"])
+                    out.append(_single(data[start : start + count - 1 + length], w["place"], length))
                 gram, place = (np.concatenate(x) for x in zip(*out))
                 yield _batch(["gram", "doc", "place"], gram, np.full(len(gram), doc, np.int64), place)
 
@@ -268,9 +274,11 @@ def repeated_windows(contexts: list[bytes], doc: np.ndarray, place: np.ndarray,
     order = block_at[np.array(suffix_array(string.tolist()), np.int64)]
     order = order[(order >= 0)]
     order = order[inside[order] <= gram_at[owner[order]]]  # the first block of some window
-    near = text[np.minimum(at[order][:, None] + np.arange(length), len(text) - 1)]
-    unlike = near[1:] != near[:-1]
-    common = np.where(unlike.any(1), unlike.argmax(1), length)
+    common = np.empty(max(0, len(order) - 1), np.int64)
+    for k in range(0, len(common), 8192):
+        near = text[np.minimum(at[order[k : k + 8193]][:, None] + np.arange(length), len(text) - 1)]
+        unlike = near[1:] != near[:-1]
+        common[k : k + 8192] = np.where(unlike.any(1), unlike.argmax(1), length)
     common = np.minimum(common, np.minimum(room[order][1:], room[order][:-1]))
     own, ins, left = owner[order], inside[order], [np.zeros(len(order), U), np.zeros(len(order), U)]
     doc_rank = np.unique(doc, return_inverse=True)[1].astype(np.int64)
@@ -300,23 +308,43 @@ def repeated_windows(contexts: list[bytes], doc: np.ndarray, place: np.ndarray,
     return x[heads] >> 32, x[heads] & 0xFFFFFFFF, np.diff(np.r_[heads, len(x)])
 
 
-def _sort_suffixes(length: int):
+def _sort_suffixes(length: int, most: int):
+    """Repeated windows of contexts sorted by gram.  A gram with more contexts than ``most`` leaves as single windows
+    (``gram`` is then a window's hash, else null), so that no suffix array and no task grows with a gram."""
+    names = ["doc", "place", "gram"]
+
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         doc, place = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
         own, first, n = repeated_windows([r[3] for r in rows], doc, place, length)
         start, _, _, tie = _unpack(place)
-        return _batch(["doc", "tie", "start", "windows"], doc[own], tie[own], start[own] + first, n)
+        return _batch(names, doc[own], _pack(start[own] + first, n, 0, tie[own]), pa.nulls(len(own), pa.int64()))
+
+    def apart(rows: list[tuple]) -> pa.RecordBatch:
+        found = [_single(r[3], r[2], length) for r in rows]
+        key, place = (np.concatenate(x) for x in zip(*found))
+        return _batch(names, np.repeat(np.array([r[1] for r in rows], np.int64), [len(k) for k, _ in found]), place, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        gram, own, wide = None, 0, False  # the gram that arrives, its first row in ``held``, whether it is too large
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if len(held) >= CONTEXTS and row[0] != held[-1][0]:
-                    yield solve(held)
-                    held = []
+                if row[0] != gram:
+                    if wide and held:
+                        yield apart(held)
+                        held = []
+                    if len(held) >= CONTEXTS:
+                        yield solve(held)
+                        held = []
+                    gram, own, wide = row[0], len(held), False
                 held.append(row)
+                if len(held) - own > most:
+                    if own:
+                        yield solve(held[:own])
+                    yield apart(held[own:])
+                    held, own, wide = [], 0, True
         if held:
-            yield solve(held)
+            yield (apart if wide else solve)(held)
 
     return run
 
@@ -373,18 +401,23 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return with_tie.join(wanted, ["doc", "tie"]).select("doc", "text", "wanted")
 
     contexts = questions(~is_hot).mapInArrow(_read_contexts(length), "gram long, doc long, place long, bytes binary")
-    solved = contexts.repartition("gram").sortWithinPartitions("gram", "doc", "place").mapInArrow(_sort_suffixes(length), "doc long, tie long, start long, windows long")
-    sure = sifted.where("sure")
+    solved = contexts.repartition("gram").sortWithinPartitions("gram", "doc", "place").mapInArrow(_sort_suffixes(length, WIDE), "doc long, place long, gram long")
+    solved = written(solved, "solved")
+    left = solved.where("gram is not null").select("gram", "doc", "place")
+    left = None if left.isEmpty() else left
     if len(hot):
-        kind, order = "gram long, doc long, place long, again boolean", ("gram", "doc", "place")
         windows = questions(is_hot).mapInArrow(_read_windows(length), "gram long, doc long, place long")
-        some = written(windows.repartition(_salted("gram")).sortWithinPartitions(*order).mapInArrow(_repeats, kind), "windows")
+        left = left.unionByName(windows) if left else windows
+    sure = sifted.where("sure").select("doc", "place").unionByName(solved.where("gram is null").select("doc", "place"))
+    if left:
+        kind, order = "gram long, doc long, place long, again boolean", ("gram", "doc", "place")
+        some = written(left.repartition(_salted("gram")).sortWithinPartitions(*order).mapInArrow(_repeats, kind), "windows")
         rest = some.where("not again").drop("again").repartition("gram").sortWithinPartitions(*order).mapInArrow(_repeats, kind)
-        sure = sure.select("place", "doc").unionByName(some.unionByName(rest).where("again").select("place", "doc"))
+        sure = sure.unionByName(some.unionByName(rest).where("again").select("doc", "place"))
     sure = sure.select(
         "doc", tie.alias("tie"), F.shiftrightunsigned("place", 32).alias("start"), F.shiftrightunsigned("place", 25).bitwiseAND(127).alias("windows")
     )
-    gone = sure.unionByName(solved).groupBy("doc", "tie").agg(F.collect_list(F.shiftleft("start", 8).bitwiseOR(F.col("windows"))).alias("gone"))
+    gone = sure.groupBy("doc", "tie").agg(F.collect_list(F.shiftleft("start", 8).bitwiseOR(F.col("windows"))).alias("gone"))
     kind = f"row {whole.schema['row'].dataType.simpleString()}, " if keep else ""
     carried = ["row"] if keep else []
     out = with_tie.join(gone, ["doc", "tie"], "left").select("doc", "text", "gone", *carried).mapInArrow(

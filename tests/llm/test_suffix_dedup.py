@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from tessera.llm import suffix_dedup as module
 from tessera.llm.suffix_dedup import TIE, suffix_dedup
 from tessera.llm.heavy import heavy_keys
@@ -72,6 +74,8 @@ def test_hot_grams_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(module, "heavy_keys", lambda *a: found.append(heavy_keys(*a)) or found[-1])
     check(spark, rows)
     assert len(found[0]) > 3
+    monkeypatch.setattr(module, "heavy_keys", lambda *a: np.zeros(0, np.int64))  # large grams that no list names
+    check(spark, rows)
 
 
 def test_heavy_keys_are_found_in_bounded_summaries(spark):
