@@ -43,7 +43,9 @@ from .suffixes import suffix_array
 GRAM, BLOCK, SEGMENT = 32, 14, 1 << 18
 #: Contexts of different grams that are sorted together at least.
 CONTEXTS = 2000
-#: Anchors that a gram must have to be dealt by context, and contexts that one gram may bring into a suffix array.
+#: Contexts that one gram may bring into a suffix array, whose lists take about a kilobyte a symbol.
+ARRAY = 4000
+#: Anchors that a gram must have to be dealt by context.
 WIDE = 20_000
 SALTS = 64
 TIE = (1 << 18) - 1
@@ -401,7 +403,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return with_tie.join(wanted, ["doc", "tie"]).select("doc", "text", "wanted")
 
     contexts = questions(~is_hot).mapInArrow(_read_contexts(length), "gram long, doc long, place long, bytes binary")
-    solved = contexts.repartition("gram").sortWithinPartitions("gram", "doc", "place").mapInArrow(_sort_suffixes(length, WIDE), "doc long, place long, gram long")
+    solved = contexts.repartition("gram").sortWithinPartitions("gram", "doc", "place").mapInArrow(_sort_suffixes(length, ARRAY), "doc long, place long, gram long")
     solved = written(solved, "solved")
     left = solved.where("gram is not null").select("gram", "doc", "place")
     left = None if left.isEmpty() else left

@@ -62,6 +62,7 @@ def test_against_brute_force(spark):
 
 def test_hot_grams_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(module, "WIDE", 5)  # small enough for a fixture: hot grams go by context and by window
+    monkeypatch.setattr(module, "ARRAY", 5)
     rng = random.Random(4)
     phrase = "a phrase of over forty bytes that is found everywhere, "
     passage = "and a long passage, " + phrase * 2 + "".join(rng.choice("abcdef ") for _ in range(200))
