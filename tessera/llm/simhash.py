@@ -8,8 +8,12 @@ Two nodes whose shared bits differ too often are pruned with all that is below t
 compared bit by bit.  Links join components at once, and pairs of leaves that are in one component already are
 skipped, so a dense group never emits its pairs: an index returns a star for each component.
 
+No index holds a hot key (``heavy.py``: a list of bounded size).  The rows of one are sent again under pairs of bands of
+the bits that the key leaves free, until no key is hot; 14 free bits, after three times, leave 16384 codes at most.
+
 ``near_duplicate_filter`` asks for a similarity of shingle sets instead of a radius.  Its fingerprints are longer, and
-its tables are drawn at random, because no set of bands guarantees so wide a radius; the index is the same.
+its tables are drawn at random, because no set of bands guarantees so wide a radius; the index is the same.  A hot key
+is dealt into blocks, and each pair of blocks is indexed: no link is lost, but the rows sent grow with the blocks.
 
 Defined results: null text is empty; a text without words has fingerprint zero and links like any other; null ids
 sort first (a component with one has a null ``component_id``); rows that repeat an id are kept, each with its own
@@ -18,6 +22,7 @@ fingerprint; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -30,12 +35,17 @@ from pyspark.sql import functions as F
 
 from .common import id_column, null_again, written
 from .components import connected_components
+from .heavy import heavy_keys
 
 FAN = 16
 #: Rows that one index holds at least; it is cut only between band keys.
 ROWS = 200_000
 #: Pairs that are expanded at once.
 PAIRS = 1 << 21
+#: Rows that a key must have to be split.
+WIDE = 20_000
+#: Blocks that a hot key of the long fingerprints is dealt into at least.
+BLOCKS = 8
 SEED = 42
 U = np.uint64
 
@@ -199,23 +209,79 @@ def _stars(radius: int, words64: int = 1):
     return run
 
 
-def band_keys(code, radius: int):
-    """An array of the keys under which a fingerprint column is indexed."""
-    bands = radius + 2
-    edges = [64 * i // bands for i in range(bands + 1)]
-    part = [F.shiftrightunsigned(code, edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1) for i in range(bands)]
-    pairs = list(itertools.combinations(range(bands), 2))
-    width = max(edges[i + 1] - edges[i] for i in range(bands))
-    return F.array(*(F.shiftleft(F.lit(t).cast("long"), 2 * width) + F.shiftleft(part[i], width) + part[j] for t, (i, j) in enumerate(pairs)))
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+def finer_keys(key: np.ndarray, fixed: np.ndarray, code: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(rows, key, fixed): rows of one key that differ in at most ``radius`` bits have a finer key in common.
+
+    ``fixed`` masks the bits in which rows of a key agree.  The others are cut into ``radius + 2`` bands, and each pair
+    of bands makes a finer key.  Keys are hashed; a collision costs comparisons only.
+    """
+    for mask in np.unique(fixed):
+        rows = np.flatnonzero(fixed == mask)
+        free = [b for b in range(64) if not int(mask) >> b & 1]
+        edges = [len(free) * i // (radius + 2) for i in range(radius + 3)]
+        bands = [sum(1 << b for b in free[x:y]) for x, y in zip(edges, edges[1:])]
+        for t, (x, y) in enumerate(itertools.combinations(bands, 2), 1):
+            both = U(x | y)
+            yield rows, _mix(_mix(key[rows] + U(t)) ^ (code[rows] & both)), np.full(len(rows), mask | both, U)
+
+
+def _send(radius: int, again: bool):
+    """(node, fp), or with ``again`` (key, node, fp, fixed) -> the rows under each of their finer keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, code = (b.column(k).to_numpy() for k in ("node", "fp"))
+            none = np.zeros(b.num_rows, U)
+            old = [b.column(k).to_numpy().view(U) for k in ("key", "fixed")] if again else [none, none]
+            for rows, key, fixed in finer_keys(*old, code.view(U), radius):
+                columns = (key.view(np.int64), node[rows], code[rows], fixed.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "fp", "fixed"])
+
+    return run
+
+
+def block_pairs(hot: np.ndarray, blocks: np.ndarray, names: list[str]):
+    """Deals the rows of key ``hot[i]`` into ``blocks[i]`` blocks and sends each to every pair of blocks with its own,
+    so that any two rows of a key still meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = b.column(0).to_numpy()
+            n = blocks[np.searchsorted(hot, key)]
+            own = (_mix(b.column(1).to_numpy().view(U)) % n.astype(U)).astype(np.int64)
+            for k in range(int(n.max())):
+                rows = np.flatnonzero(k < n)
+                pair = (np.minimum(own, k)[rows] << 32) | np.maximum(own, k)[rows]
+                new = _mix(_mix(key[rows].view(U) + U(1)) ^ pair.view(U)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(new), *(b.column(c).take(pa.array(rows)) for c in range(1, b.num_columns))], names=names)
+
+    return run
 
 
 def fingerprint_components(prints: DataFrame, radius: int = 3) -> DataFrame:
     """(id, fp) -> (fp, root): for each different fingerprint the smallest id that links reach."""
     if not 0 <= radius <= 6:
         raise ValueError("radius must be 0 to 6: more bands leave too few bits to a key")
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("node"))
-    sent = nodes.select(F.explode(band_keys(F.col("fp"), radius)).alias("key"), "node", "fp")
-    edges = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_stars(radius), "u long, v long")
+    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("node")), "nodes")
+    kind, edges = "key long, node long, fp long, fixed long", []
+    sent = nodes.select("node", "fp").mapInArrow(_send(radius, False), kind)
+    while True:  # ends: a key that has few free bits left can't be hot
+        hot = heavy_keys(sent.select("key"), WIDE)
+        is_hot = F.col("key").isin(hot.tolist())
+        few = sent.where(~is_hot) if len(hot) else sent
+        edges.append(few.select("key", "node", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(_stars(radius), "u long, v long"))
+        if not len(hot):
+            break
+        sent = sent.where(is_hot).mapInArrow(_send(radius, True), kind)
+    edges = functools.reduce(DataFrame.unionAll, edges)
     roots = connected_components(edges)
     return nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
 
@@ -270,11 +336,18 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     names = [f"w{k}" for k in range(words64)]
     rows = docs.select(id_column(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     prints = written(rows.mapInArrow(_wide_fingerprints(shingle, words64), "id long, " + ", ".join(f"{n} long" for n in names)), "prints")
-    nodes = prints.groupBy(*names).agg(F.min("id").alias("node")).select("node", *names)
+    nodes = written(prints.groupBy(*names).agg(F.min("id").alias("node")).select("node", *names), "nodes")
     bits = max(8, round(math.log2(max(2, prints.count()))) - 6)
     tables = math.ceil(math.log(missed) / math.log1p(-((1 - share) ** bits)))
     columns = "node long, " + ", ".join(f"{n} long" for n in names)
     sent = nodes.mapInArrow(_sampled_keys(words64, bits, tables), f"key long, {columns}")
+    hot = heavy_keys(sent.select("key"), WIDE)
+    if len(hot):
+        is_hot = F.col("key").isin(hot.tolist())
+        size = dict(sent.where(is_hot).groupBy("key").count().collect())  # a row for each hot key
+        blocks = np.array([max(BLOCKS, -(-2 * size[k] // ROWS)) for k in hot.tolist()])
+        dealt = sent.where(is_hot).mapInArrow(block_pairs(hot, blocks, sent.columns), f"key long, {columns}")
+        sent = sent.where(~is_hot).unionAll(dealt)
     edges = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_stars(radius, words64), "u long, v long")
     roots = connected_components(edges)
     return prints, nodes.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("root"))

@@ -4,7 +4,8 @@ import re
 import numpy as np
 import xxhash
 
-from tessera.llm.simhash import fingerprint, gray_rank, index_components, simhash_dedup
+from tessera.llm import simhash
+from tessera.llm.simhash import fingerprint, fingerprint_components, gray_rank, index_components, near_duplicate_filter, simhash_dedup
 from tessera.llm.components import connected_components
 
 
@@ -71,6 +72,34 @@ def test_against_brute_force(spark):
     assert len(set(want)) < len(rows) - 10
 
 
+def test_hot_keys_lose_no_link(spark, monkeypatch):
+    rng = random.Random(3)
+    center = rng.getrandbits(64)
+    codes = sorted({center ^ sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2, 3, 9]))) for _ in range(900)})
+    rows = [(i, c - 2**64 if c >= 2**63 else c) for i, c in enumerate(codes)]
+    want = roots(len(codes), lambda i, j: (codes[i] ^ codes[j]).bit_count() <= 3)
+    sent = []
+    real = simhash.heavy_keys
+    monkeypatch.setattr(simhash, "WIDE", 8)
+    monkeypatch.setattr(simhash, "heavy_keys", lambda keys, least: sent.append(len(h := real(keys, least))) or h)
+    got = {r.fp: r.root for r in fingerprint_components(spark.createDataFrame(rows, "id long, fp long"), 3).collect()}
+    assert [got[fp] for _, fp in rows] == want
+    assert len(sent) > 2 and sent[0] and not sent[-1]
+
+
+def test_hot_keys_of_the_filter(spark, monkeypatch):
+    rng = random.Random(4)
+    base = ["w%d" % rng.randrange(10**6) for _ in range(400)]
+    rows = [(i, " ".join(rng.choice(["x", "y%d" % i]) if rng.random() < 0.01 else w for w in base)) for i in range(300)]
+    rows += [(1000 + i, " ".join("v%d" % rng.randrange(10**6) for _ in range(200))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(r.doc_id for r in near_duplicate_filter(docs).collect())
+    for name, value in (("WIDE", 10), ("ROWS", 40)):
+        monkeypatch.setattr(simhash, name, value)
+    assert sorted(r.doc_id for r in near_duplicate_filter(docs).collect()) == plain
+    assert len(plain) < 70 and {r[0] for r in rows[300:]} <= set(plain)
+
+
 def test_nulls_repeats_and_empty(spark):
     got = simhash_dedup(spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (4, None)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (3, 0), (3, 0), (4, 4)]
