@@ -9,7 +9,7 @@ probability 1 - ``error``, in every stratum at once, at most ``limit`` of the go
 chosen cutoffs.  A stratum with too few labels gets no cutoff and keeps all that the base rule keeps.
 
 Defined results: null text has no words and fails the base rule; a null stratum is a stratum of its own; of repeated
-labels of one id the best counts; labels without a document count nothing; an empty table gives an empty result.
+labels of one id the best counts; labels without a document or with a null id count nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -130,7 +130,7 @@ def _step(measure: Column) -> Column:
 
 def learn_cutoffs(counted: DataFrame, labels: DataFrame, limit: float, error: float, id_col: str = "doc_id", label_col: str = "quality") -> dict[tuple, int]:
     """What comes to the driver: a count for each stratum, rule and grid step."""
-    best = labels.groupBy(id_column(id_col).alias("id")).agg(F.max(label_col).alias("good")).where("good = 1").select("id")
+    best = labels.where(F.col(id_col).isNotNull()).groupBy(id_column(id_col).alias("id")).agg(F.max(label_col).alias("good")).where("good = 1").select("id")
     # no rule has to reject what the base rule does
     good = counted.where(~base_failed()).join(best, "id")
     step = F.explode(F.map_from_arrays(F.array(*map(F.lit, rules())), F.array(*map(_step, rules().values()))))
