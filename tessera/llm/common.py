@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,31 @@ NULL_ID = -(2**63)
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Rows of text that a Python worker takes up at once.
+TEXTS = 1024
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int | None = TEXTS) -> Callable:
+    """``run`` over slices of ``rows`` rows; at the end of the task the memory that allocators hold goes back.
+
+    Workers serve many tasks, so what one task needed at its peak would otherwise stay with the worker.
+    """
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from [b] if rows is None or b.num_rows <= rows else (b.slice(at, rows) for at in range(0, b.num_rows, rows))
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(parts(batches))
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+                trim(0)
+
+    return lean_run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

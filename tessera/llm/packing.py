@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import word_bpe
-from .common import written
+from .common import lean, written
 
 END_ID = 0
 
@@ -126,7 +126,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id
     """Per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").cast("binary").alias("text"))
     cut = _cut(lambda: word_bpe.load(path).encode, capacity)
-    pieces = written(rows.mapInArrow(cut, "doc long, piece int, start long, length long, ids_crc32 long, task long, nth long"), "pieces")
+    pieces = written(rows.mapInArrow(lean(cut), "doc long, piece int, start long, length long, ids_crc32 long, task long, nth long"), "pieces")
     totals = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     totals = written(totals.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "totals")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_column, null_again, written
+from .common import id_column, lean, null_again, written
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters"]
 SPACES = b" \t\n\x0b\x0c\r"
@@ -71,7 +71,7 @@ def _count(columns: list[str]):
 
 def features(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
     rows = docs.select(id_column(id_col).alias("id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).cast("string").cast("binary").alias("text_bytes"))
-    return rows.mapInArrow(_count(["id", "stratum"]), "id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.mapInArrow(lean(_count(["id", "stratum"])), "id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def base_failed() -> Column:
@@ -168,5 +168,5 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     row, text = F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.col(text_col).cast("string").cast("binary")
     rows = docs.select(row.alias("row"), F.col(stratum_col).cast("string").alias("stratum"), text.alias("text_bytes"))
     kind = rows.schema["row"].dataType.simpleString()
-    counted = rows.mapInArrow(_count(["row", "stratum"]), f"row {kind}, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
+    counted = rows.mapInArrow(lean(_count(["row", "stratum"])), f"row {kind}, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
     return counted.where(~(base_failed() | verdict(cutoffs))).select("row.*")

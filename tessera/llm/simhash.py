@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_column, null_again, written
+from .common import id_column, lean, null_again, written
 from .components import connected_components
 from .heavy import heavy_keys
 
@@ -277,7 +277,7 @@ def fingerprint_components(prints: DataFrame, radius: int = 3) -> DataFrame:
         hot = heavy_keys(sent.select("key"), WIDE)
         is_hot = F.col("key").isin(hot.tolist())
         few = sent.where(~is_hot) if len(hot) else sent
-        edges.append(few.select("key", "node", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(_stars(radius), "u long, v long"))
+        edges.append(few.select("key", "node", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(lean(_stars(radius), None), "u long, v long"))
         if not len(hot):
             break
         sent = sent.where(is_hot).mapInArrow(_send(radius, True), kind)
@@ -289,7 +289,7 @@ def fingerprint_components(prints: DataFrame, radius: int = 3) -> DataFrame:
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """Per row: id, ``fingerprint`` (16 hex digits) and ``component_id`` (the smallest id that links reach)."""
     prints = written(
-        docs.select(id_column(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(_fingerprints(shingle), "id long, fp long"), "prints"
+        docs.select(id_column(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(lean(_fingerprints(shingle)), "id long, fp long"), "prints"
     )
     out = prints.join(fingerprint_components(prints, radius), "fp")
     return out.select(null_again("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), null_again("root").alias("component_id"))
@@ -335,7 +335,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     radius = int(bits_all * share + sigmas * math.sqrt(bits_all * share * (1 - share)))
     names = [f"w{k}" for k in range(words64)]
     rows = docs.select(id_column(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    prints = written(rows.mapInArrow(_wide_fingerprints(shingle, words64), "id long, " + ", ".join(f"{n} long" for n in names)), "prints")
+    prints = written(rows.mapInArrow(lean(_wide_fingerprints(shingle, words64)), "id long, " + ", ".join(f"{n} long" for n in names)), "prints")
     nodes = written(prints.groupBy(*names).agg(F.min("id").alias("node")).select("node", *names), "nodes")
     bits = max(8, round(math.log2(max(2, prints.count()))) - 6)
     tables = math.ceil(math.log(missed) / math.log1p(-((1 - share) ** bits)))
@@ -348,7 +348,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         blocks = np.array([max(BLOCKS, -(-2 * size[k] // ROWS)) for k in hot.tolist()])
         dealt = sent.where(is_hot).mapInArrow(block_pairs(hot, blocks, sent.columns), f"key long, {columns}")
         sent = sent.where(~is_hot).unionAll(dealt)
-    edges = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_stars(radius, words64), "u long, v long")
+    edges = sent.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_stars(radius, words64), None), "u long, v long")
     roots = connected_components(edges)
     return prints, nodes.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("root"))
 

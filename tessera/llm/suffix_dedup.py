@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_column, null_again, written
+from .common import id_column, lean, null_again, written
 from .heavy import heavy_keys
 from .suffixes import suffix_array
 
@@ -390,11 +390,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)), F.lit(None).cast("int").alias("_"))
     whole = docs.select(id_column(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), *([others.alias("row")] if keep else []))
     docs = whole.select("doc", "text")
-    hot = heavy_keys(docs.select("text").mapInArrow(_grams(length), "gram long"), WIDE)
+    hot = heavy_keys(docs.select("text").mapInArrow(lean(_grams(length)), "gram long"), WIDE)
     is_hot = F.col("gram").isin(hot.tolist()) if len(hot) else F.lit(False)
-    places = docs.mapInArrow(_find_anchors(length), "gram long, context long, doc long, place long")
+    places = docs.mapInArrow(lean(_find_anchors(length)), "gram long, context long, doc long, place long")
     dealt = places.repartition(F.when(is_hot, _salted("context")).otherwise(F.col("gram")) if len(hot) else "gram")
-    sifted = written(dealt.sortWithinPartitions("gram", "context", "doc", "place").mapInArrow(_sift(hot), "gram long, doc long, place long, sure boolean"), "anchors")
+    sifted = written(dealt.sortWithinPartitions("gram", "context", "doc", "place").mapInArrow(lean(_sift(hot), None), "gram long, doc long, place long, sure boolean"), "anchors")
     tie = F.col("place").bitwiseAND(TIE)
     with_tie = whole.withColumn("tie", F.crc32(F.coalesce("text", F.lit(""))).bitwiseAND(TIE))
 
@@ -402,19 +402,19 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         wanted = sifted.where(~F.col("sure") & which).groupBy("doc", tie.alias("tie")).agg(F.collect_list(F.struct("gram", "place")).alias("wanted"))
         return with_tie.join(wanted, ["doc", "tie"]).select("doc", "text", "wanted")
 
-    contexts = questions(~is_hot).mapInArrow(_read_contexts(length), "gram long, doc long, place long, bytes binary")
-    solved = contexts.repartition("gram").sortWithinPartitions("gram", "doc", "place").mapInArrow(_sort_suffixes(length, ARRAY), "doc long, place long, gram long")
+    contexts = questions(~is_hot).mapInArrow(lean(_read_contexts(length)), "gram long, doc long, place long, bytes binary")
+    solved = contexts.repartition("gram").sortWithinPartitions("gram", "doc", "place").mapInArrow(lean(_sort_suffixes(length, ARRAY), None), "doc long, place long, gram long")
     solved = written(solved, "solved")
     left = solved.where("gram is not null").select("gram", "doc", "place")
     left = None if left.isEmpty() else left
     if len(hot):
-        windows = questions(is_hot).mapInArrow(_read_windows(length), "gram long, doc long, place long")
+        windows = questions(is_hot).mapInArrow(lean(_read_windows(length)), "gram long, doc long, place long")
         left = left.unionByName(windows) if left else windows
     sure = sifted.where("sure").select("doc", "place").unionByName(solved.where("gram is null").select("doc", "place"))
     if left:
         kind, order = "gram long, doc long, place long, again boolean", ("gram", "doc", "place")
-        some = written(left.repartition(_salted("gram")).sortWithinPartitions(*order).mapInArrow(_repeats, kind), "windows")
-        rest = some.where("not again").drop("again").repartition("gram").sortWithinPartitions(*order).mapInArrow(_repeats, kind)
+        some = written(left.repartition(_salted("gram")).sortWithinPartitions(*order).mapInArrow(lean(_repeats, None), kind), "windows")
+        rest = some.where("not again").drop("again").repartition("gram").sortWithinPartitions(*order).mapInArrow(lean(_repeats, None), kind)
         sure = sure.unionByName(some.unionByName(rest).where("again").select("doc", "place"))
     sure = sure.select(
         "doc", tie.alias("tie"), F.shiftrightunsigned("place", 32).alias("start"), F.shiftrightunsigned("place", 25).bitwiseAND(127).alias("windows")
@@ -423,7 +423,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = f"row {whole.schema['row'].dataType.simpleString()}, " if keep else ""
     carried = ["row"] if keep else []
     out = with_tie.join(gone, ["doc", "tie"], "left").select("doc", "text", "gone", *carried).mapInArrow(
-        _cut(length, whole_chars, carried), f"doc long, {kind}n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
+        lean(_cut(length, whole_chars, carried)), f"doc long, {kind}n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
     )
     return out.select(null_again("doc").alias(id_col), *carried, "n_bytes", "spans", "kept")
 

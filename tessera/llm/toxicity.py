@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .memo import Memo
 
 #: Labelled documents of each class that the lexicon is learned from, at most.
@@ -222,7 +223,7 @@ class Model:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     text = F.col(text_col).cast("string").alias("text")
     counts = np.zeros(LETTERS**3, np.int64)
-    for r in docs.select(text.cast("binary").alias("text")).mapInArrow(count_trigrams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select(text.cast("binary").alias("text")).mapInArrow(lean(count_trigrams), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         counts[r.gram] = r.n  # at most 28^3 rows
     known = labels.where(F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     seen = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -231,7 +232,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(counts, {}, prior)
     chosen = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("id"), "id").limit(sample) for t in (0, 1)]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text).join(F.broadcast(chosen[0].unionAll(chosen[1])), "id")  # 2 x sample rows at most
-    pairs = rows.select("text", "toxic").mapInArrow(_witnesses(counts), "word string, near long, toxic int")
+    pairs = rows.select("text", "toxic").mapInArrow(lean(_witnesses(counts)), "word string, near long, toxic int")
     by_word = pairs.groupBy("word", "near").agg(F.max("toxic").alias("toxic")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     tested = by_word.where("bad >= 4 and bad > 3 * good").orderBy(F.desc("bad"), "word").limit(LEXICON).collect()
     size = {t: max(1, min(sample, seen[t])) for t in (0, 1)}
@@ -256,7 +257,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([score(t) for t in b.column(2).to_pylist()], pa.float64())], names=["id", "held_out", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(run, "id long, held_out boolean, score double")
+    out = rows.mapInArrow(lean(run), "id long, held_out boolean, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -275,4 +276,4 @@ def toxicity_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     rows = docs.select(row, F.col(text_col).cast("string").alias("text_"))
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
+    return rows.mapInArrow(lean(run), f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")

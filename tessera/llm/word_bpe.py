@@ -46,7 +46,7 @@ class WordBpe:
         self.core = tiktoken.Encoding("word", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.odd = self._not_itself(ranks)
         self.split = regex.compile(PATTERN)
-        self.words = Memo(self._word)
+        self.words = Memo(self._word, 100_000)
 
     def _not_itself(self, ranks: dict[bytes, int]) -> set[int]:
         """Tokens that the tiktoken loop would make and the listed merges wouldn't."""
