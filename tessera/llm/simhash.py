@@ -12,8 +12,9 @@ No index holds a hot key (``heavy.py``: a list of bounded size).  The rows of on
 the bits that the key leaves free, until no key is hot; 14 free bits, after three times, leave 16384 codes at most.
 
 ``near_duplicate_filter`` asks for a similarity of shingle sets instead of a radius.  Its fingerprints are longer, and
-its tables are drawn at random, because no set of bands guarantees so wide a radius; the index is the same.  A hot key
-is dealt into blocks, and each pair of blocks is indexed: no link is lost, but the rows sent grow with the blocks.
+its tables are drawn at random, because no set of bands guarantees so wide a radius; the index is the same.  It yields
+candidates only: the sets of each component of candidates are compared themselves.  A hot key, or a component that is
+large, is dealt into blocks, and each two blocks meet: no link is lost, but the rows sent grow with the blocks.
 
 Defined results: null text is empty; a text without words has fingerprint zero and links like any other; null ids
 sort first (a component with one has a null ``component_id``); rows that repeat an id are kept, each with its own
@@ -46,21 +47,19 @@ PAIRS = 1 << 21
 WIDE = 20_000
 #: Blocks that a hot key of the long fingerprints is dealt into at least.
 BLOCKS = 8
+#: Texts, and shingles, of a block that a large component of candidates is dealt into.
+MEMBERS, SHINGLES = 4096, 1 << 22
 SEED = 42
 U = np.uint64
 
 
-def fingerprint_words(data: bytes, shingle: int, words64: int) -> np.ndarray:
-    """A fingerprint of ``words64`` times 64 bits; the first 64 are those of ``fingerprint``."""
-    h = shingle_hashes(data, shingle)
+def fingerprint_words(h: np.ndarray, words64: int) -> np.ndarray:
+    """A fingerprint of ``words64`` times 64 bits of hashed shingles; the first 64 are their majority."""
     if not len(h):
         return np.zeros(words64, U)
     more = [h]
     for k in range(1, words64):
-        x = h + U(k * 0x9E3779B97F4A7C15 & 2**64 - 1)
-        x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-        more.append(x ^ (x >> U(31)))
+        more.append(_mix(h + U(k * 0x9E3779B97F4A7C15 & 2**64 - 1)))
     return np.array([_majority(x) for x in more], U)
 
 
@@ -295,13 +294,85 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(null_again("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), null_again("root").alias("component_id"))
 
 
+def shingle_set(data: bytes, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(data, shingle))
+
+
 def _wide_fingerprints(shingle: int, words64: int):
-    names = ["id", *(f"w{k}" for k in range(words64))]
+    names = ["id", "tie", "node", "n", *(f"w{k}" for k in range(words64))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([fingerprint_words(t or b"", shingle, words64) for t in b.column(1).to_pylist()], U).reshape(b.num_rows, words64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(found[:, k]) for k in range(words64))], names=names)
+            found = np.zeros((b.num_rows, 2 + words64), U)
+            for i, t in enumerate(b.column(2).to_pylist()):
+                h = shingle_set(t or b"", shingle)
+                found[i, 0], found[i, 1], found[i, 2:] = xxhash.xxh64_intdigest(h.tobytes(), SEED), len(h), fingerprint_words(h, words64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x) for x in found.view(np.int64).T.copy())], names=names)
+
+    return run
+
+
+def _sets(shingle: int, names: list[str]):
+    """The last column, a text, becomes its sorted hashed shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t or b"", shingle).tobytes() for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.binary())], names=names)
+
+    return run
+
+
+def alike_components(code: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> np.ndarray:
+    """The first row of each row's component under links of rows whose sets are at least so similar.
+
+    Only pairs within ``radius`` are compared, and none that is in one component already.
+    """
+    size = np.array([len(x) for x in sets])
+    seen, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    edge = np.r_[0, np.cumsum(size)]
+    mark, label = np.zeros(len(seen), bool), np.arange(len(sets))
+    for x in range(len(sets) - 1):
+        y = np.flatnonzero(label[x + 1 :] != label[x]) + x + 1
+        y = y[np.minimum(size[y], size[x]) >= similarity * np.maximum(size[y], size[x])]
+        y = y[np.bitwise_count(code[y] ^ code[x]).sum(1, dtype=np.int64) <= radius]
+        if not len(y):
+            continue
+        own = flat[edge[x] : edge[x + 1]]
+        mark[own] = True
+        both = np.array([np.count_nonzero(mark[flat[edge[k] : edge[k + 1]]]) for k in y])
+        mark[own] = False
+        y = y[both >= similarity * (size[x] + size[y] - both)]
+        label = _unite(label, np.full(len(y), x), y)
+    return label
+
+
+def _alike_stars(radius: int, similarity: float, words64: int):
+    """(key, node, w0.., set) sorted by key -> a star for each component of alike sets of a key."""
+
+    def solve(node: np.ndarray, code: np.ndarray, sets: list[bytes]) -> pa.RecordBatch:
+        label = alike_components(code, [np.frombuffer(x, U) for x in sets], radius, similarity)
+        k = label != np.arange(len(label))
+        return pa.RecordBatch.from_arrays([pa.array(node[k]), pa.array(node[label[k]])], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, nodes, codes, sets = None, [], [], []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, node = (b.column(k).to_numpy() for k in range(2))
+            code = np.stack([b.column(2 + k).to_numpy() for k in range(words64)], 1).view(U)
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            for s, e in zip(starts, [*starts[1:], len(key)]):
+                if last is not None and key[s] != last:
+                    yield solve(np.concatenate(nodes), np.concatenate(codes), sets)
+                    nodes, codes, sets = [], [], []
+                last = key[s]
+                nodes.append(node[s:e])
+                codes.append(code[s:e])
+                sets.extend(b.column(2 + words64).slice(s, e - s).to_pylist())
+        if nodes:
+            yield solve(np.concatenate(nodes), np.concatenate(codes), sets)
 
     return run
 
@@ -323,24 +394,27 @@ def _sampled_keys(words64: int, bits: int, tables: int):
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words64: int = 4, missed: float = 0.03, sigmas: float = 1.5):
-    """Components of texts whose sets of shingles are alike: (written prints, (w0.., root)).
+    """Components of texts whose sets of shingles are alike: (a row for each different set, (node, root)).
 
     A similarity of ``similarity`` means an angle, and the angle the share of bits in which fingerprints differ on
-    average; texts are linked at that many differing bits plus ``sigmas`` standard deviations.  That is far more than
-    bands can guarantee, so keys are bits drawn at random, as many as leave about 64 texts to a key, in so many tables
-    that two texts just alike enough meet in none with a probability of ``missed``.
+    average; texts are candidates at that many differing bits plus ``sigmas`` standard deviations.  That is far more
+    than bands can guarantee, so keys are bits drawn at random, as many as leave about 64 texts to a key, in so many
+    tables that two texts just alike enough meet in none with a probability of ``missed``.  Components of candidates
+    are then taken apart: two texts are linked only if their sets themselves are alike, so no link is a false one.
     """
     bits_all = 64 * words64
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = int(bits_all * share + sigmas * math.sqrt(bits_all * share * (1 - share)))
     names = [f"w{k}" for k in range(words64)]
-    rows = docs.select(id_column(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    prints = written(rows.mapInArrow(lean(_wide_fingerprints(shingle, words64)), "id long, " + ", ".join(f"{n} long" for n in names)), "prints")
-    nodes = written(prints.groupBy(*names).agg(F.min("id").alias("node")).select("node", *names), "nodes")
-    bits = max(8, round(math.log2(max(2, prints.count()))) - 6)
+    longs = ", ".join(f"{n} long" for n in names)
+    texts = _tied(docs, id_col, text_col).select("id_", "tie_", F.col(text_col).cast("string").cast("binary").alias("text_"))
+    prints = texts.mapInArrow(lean(_wide_fingerprints(shingle, words64)), f"id long, tie long, node long, n long, {longs}")
+    least = F.min(F.struct("id", "tie")).alias("least")
+    nodes = written(prints.groupBy("node").agg(least, *(F.first(c).alias(c) for c in ("n", *names))).select("node", "least.id", "least.tie", "n", *names), "nodes")
+    bits = max(8, round(math.log2(max(2, nodes.count()))) - 6)
     tables = math.ceil(math.log(missed) / math.log1p(-((1 - share) ** bits)))
-    columns = "node long, " + ", ".join(f"{n} long" for n in names)
-    sent = nodes.mapInArrow(_sampled_keys(words64, bits, tables), f"key long, {columns}")
+    columns = f"node long, {longs}"
+    sent = nodes.select("node", *names).mapInArrow(_sampled_keys(words64, bits, tables), f"key long, {columns}")
     hot = heavy_keys(sent.select("key"), WIDE)
     if len(hot):
         is_hot = F.col("key").isin(hot.tolist())
@@ -348,17 +422,31 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         blocks = np.array([max(BLOCKS, -(-2 * size[k] // ROWS)) for k in hot.tolist()])
         dealt = sent.where(is_hot).mapInArrow(block_pairs(hot, blocks, sent.columns), f"key long, {columns}")
         sent = sent.where(~is_hot).unionAll(dealt)
-    edges = sent.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_stars(radius, words64), None), "u long, v long")
-    roots = connected_components(edges)
-    return prints, nodes.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("root"))
+    maybe = connected_components(sent.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_stars(radius, words64), None), "u long, v long"))
+    members = written(nodes.join(maybe.withColumnRenamed("root", "key"), "node"), "members")
+    found = members.select("key", "node", *names, F.col("id").alias("id_"), F.col("tie").alias("tie_")).join(texts, ["id_", "tie_"]).dropDuplicates(["node"])
+    kept = ["key", "node", *names, "set"]
+    sets = found.select("key", "node", *names, "text_").mapInArrow(lean(_sets(shingle, kept)), f"key long, {columns}, set binary")
+    # a row for each component that is too large for one task
+    large = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / F.lit(MEMBERS)), F.ceil(F.sum("n") / F.lit(SHINGLES))).cast("long").alias("blocks")).where("blocks > 1").orderBy("key").collect()
+    if large:
+        is_large = F.col("key").isin([r.key for r in large])
+        sets = written(sets, "sets")
+        dealt = sets.where(is_large).mapInArrow(block_pairs(np.array([r.key for r in large]), np.array([r.blocks for r in large]), kept), f"key long, {columns}, set binary")
+        sets = sets.where(~is_large).unionAll(dealt)
+    links = sets.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_alike_stars(radius, similarity, words64), None), "u long, v long")
+    return nodes, nodes.select("node").join(connected_components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def _tied(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with ``id_`` and ``tie_``, which tell rows of different texts apart where an id is repeated."""
+    return docs.withColumns({"id_": id_column(id_col), "tie_": F.xxhash64(F.col(text_col).cast("string"))})
 
 
 def near_duplicate_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` without those near another of smaller id: of each component the smallest id stays.
-
-    Rows that repeat both id and text stay once; rows that repeat the id that stays with another text stay too.
-    """
-    _, roots = similarity_components(docs, id_col, text_col, shingle, similarity)
-    stay = roots.select(F.col("root").alias("id_")).distinct()
-    rows = docs.withColumns({"id_": id_column(id_col), "tie_": F.xxhash64(F.col(text_col))})
-    return rows.join(stay, "id_", "left_semi").dropDuplicates(["id_", "tie_"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` without those near another of smaller id: of each component the smallest id stays, once."""
+    nodes, roots = similarity_components(docs, id_col, text_col, shingle, similarity)
+    stay = nodes.join(roots, "node").groupBy("root").agg(F.min(F.struct("id", "tie")).alias("least"))
+    stay = stay.select(F.col("least.id").alias("id_"), F.col("least.tie").alias("tie_"))
+    rows = _tied(docs, id_col, text_col)
+    return rows.join(stay, ["id_", "tie_"], "left_semi").dropDuplicates(["id_", "tie_"]).select(*(F.col(f"`{c}`") for c in docs.columns))

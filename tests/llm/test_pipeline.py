@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from tessera.llm import simhash
 from tessera.llm.common import DOC_COLUMNS
 from tessera.llm.simhash import near_duplicate_filter, similarity_components
 from tessera.llm.suffix_dedup import without_repeats
@@ -67,3 +68,44 @@ def test_run(spark, tmp_path):
 def test_components_of_nothing(spark):
     _, roots = similarity_components(spark.createDataFrame([], "doc_id long, text string"))
     assert roots.collect() == []
+
+
+def exact_roots(texts):
+    own = [shingles(t) for t in texts]
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j]):
+                a, b = up[i], up[j]
+                up = [min(a, b) if x in (a, b) else x for x in up]
+    return set(up)
+
+
+def varied(rng, words, edits):
+    """Texts and, of each, copies with so many scattered words changed."""
+    out = []
+    for n in edits:
+        w = [rng.choice(words) for _ in range(300)]
+        out.append(" ".join(w))
+        for at in range(n):
+            w[(at * 300) // n + 2] = f"new{at}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_only_alike_texts_are_removed(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = varied(rng, [f"w{i}" for i in range(3000)], [3, 4, 5, 8, 9, 10] * 12)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stay = {r.doc_id for r in near_duplicate_filter(docs).collect()}
+    assert exact_roots(texts) <= stay and len(stay) < len(texts)
+    monkeypatch.setattr(simhash, "MEMBERS", 1)
+    assert {r.doc_id for r in near_duplicate_filter(docs).collect()} == stay
+
+
+def test_rows_that_repeat_an_id(spark):
+    rng = random.Random(4)
+    a, b = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(100)) for _ in range(2))
+    rows = [(3, a), (5, a + " x"), (5, b), (7, b + " y"), (None, "c d e"), (None, "f g h"), (None, "f g h")]
+    got = near_duplicate_filter(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.text) for r in got} == {rows[k] for k in (0, 2, 4, 5)} and len(got) == 4
