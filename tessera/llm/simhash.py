@@ -393,17 +393,41 @@ def _sampled_keys(words64: int, bits: int, tables: int):
     return run
 
 
-def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words64: int = 4, missed: float = 0.03, sigmas: float = 1.5):
+def bit_share(similarity: float, smallest: int = 5, largest: int = 40) -> float:
+    """The share of fingerprint bits in which two sets of so high a similarity differ, at most: that of the angle between
+    large sets, or more between small ones, of which ``smallest`` to ``largest`` shingles in common are tried."""
+
+    def differ(c: int, a: int, b: int) -> float:
+        above = lambda k, n: sum(math.comb(n, x) for x in range(n + 1) if 2 * (k + x) > c + n) / 2**n
+        each = ((above(k, a), above(k, b), math.comb(c, k) / 2**c) for k in range(c + 1))
+        return sum(p * (x * (1 - y) + y * (1 - x)) for x, y, p in each)
+
+    own = ((c, int(c / similarity - c + 1e-9)) for c in range(smallest, largest + 1))
+    return max(math.acos(2 * similarity / (1 + similarity)) / math.pi, *(differ(c, a, n - a) for c, n in own for a in range(n // 2 + 1)))
+
+
+def tables_needed(bits_all: int, share: float, radius: int, bits: int, missed: float) -> int:
+    """Tables of keys of ``bits`` drawn bits by which two fingerprints meet within ``radius`` but for a probability of ``missed``."""
+    n, d = bits_all, np.arange(radius + 1)
+    chance = np.array([math.comb(n, k) * share**k * (1 - share) ** (n - k) for k in d])
+    apart = 1 - np.array([math.comb(n - k, bits) / math.comb(n, bits) for k in d])
+    if 1 - chance.sum() >= missed:
+        raise ValueError("the radius alone misses more")
+    return next(t for t in itertools.count(1) if 1 - chance.sum() + (chance * apart**t).sum() <= missed)
+
+
+def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words64: int = 4, missed: float = 0.001, sigmas: float = 4.0):
     """Components of texts whose sets of shingles are alike: (a row for each different set, (node, root)).
 
-    A similarity of ``similarity`` means an angle, and the angle the share of bits in which fingerprints differ on
-    average; texts are candidates at that many differing bits plus ``sigmas`` standard deviations.  That is far more
-    than bands can guarantee, so keys are bits drawn at random, as many as leave about 64 texts to a key, in so many
-    tables that two texts just alike enough meet in none with a probability of ``missed``.  Components of candidates
-    are then taken apart: two texts are linked only if their sets themselves are alike, so no link is a false one.
+    A similarity of ``similarity`` means a share of bits in which fingerprints differ on average (``bit_share``); texts
+    are candidates at that many differing bits plus ``sigmas`` standard deviations.  That is far more than bands can
+    guarantee, so keys are bits drawn at random, as many as leave about 1024 texts to a key, in so many tables that
+    two texts just alike enough are no candidates, by radius or by tables, with a probability of ``missed`` at most.
+    Components of candidates are then taken apart: two texts are linked only if their sets themselves are alike, so no
+    link is a false one.
     """
     bits_all = 64 * words64
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    share = bit_share(similarity)
     radius = int(bits_all * share + sigmas * math.sqrt(bits_all * share * (1 - share)))
     names = [f"w{k}" for k in range(words64)]
     longs = ", ".join(f"{n} long" for n in names)
@@ -411,8 +435,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prints = texts.mapInArrow(lean(_wide_fingerprints(shingle, words64)), f"id long, tie long, node long, n long, {longs}")
     least = F.min(F.struct("id", "tie")).alias("least")
     nodes = written(prints.groupBy("node").agg(least, *(F.first(c).alias(c) for c in ("n", *names))).select("node", "least.id", "least.tie", "n", *names), "nodes")
-    bits = max(8, round(math.log2(max(2, nodes.count()))) - 6)
-    tables = math.ceil(math.log(missed) / math.log1p(-((1 - share) ** bits)))
+    bits = max(8, round(math.log2(max(2, nodes.count()))) - 10)
+    tables = tables_needed(bits_all, share, radius, bits, missed)
     columns = f"node long, {longs}"
     sent = nodes.select("node", *names).mapInArrow(_sampled_keys(words64, bits, tables), f"key long, {columns}")
     hot = heavy_keys(sent.select("key"), WIDE)

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from tessera.llm import simhash
 from tessera.llm.common import DOC_COLUMNS
@@ -109,3 +111,24 @@ def test_rows_that_repeat_an_id(spark):
     rows = [(3, a), (5, a + " x"), (5, b), (7, b + " y"), (None, "c d e"), (None, "f g h"), (None, "f g h")]
     got = near_duplicate_filter(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.text) for r in got} == {rows[k] for k in (0, 2, 4, 5)} and len(got) == 4
+
+
+def test_texts_just_alike_enough_are_found(spark):
+    rng = random.Random(5)
+    texts = varied(rng, [f"w{i}" for i in range(3000)], [6] * 250)  # a similarity of 0.816
+    few = [[f"s{i}x{k}" for k in range(16)] for i in range(60)]  # 12 shingles, and 14 of which 12 are the same: 0.857
+    texts += [" ".join(w) for w in few] + [" ".join([*w, "p", "q"]) for w in few]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stay, want = {r.doc_id for r in near_duplicate_filter(docs).collect()}, exact_roots(texts)
+    assert want <= stay and len(stay - want) <= 1
+
+
+def test_combined_loss_at_the_threshold():
+    share = simhash.bit_share(0.8)
+    assert 0.16 < share < 0.162
+    tables = simhash.tables_needed(256, share, 64, 8, 0.001)
+    rng = np.random.default_rng(6)
+    far = rng.random((20_000, 256)) < share
+    keys = [np.random.default_rng([7, t]).choice(256, 8, replace=False) for t in range(tables)]
+    met = np.any([~far[:, k].any(1) for k in keys], axis=0) & (far.sum(1) <= 64)
+    assert (~met).mean() < 0.002
