@@ -8,8 +8,10 @@ first met and then only looked up; the windows are bounded, so the machine is fi
 that is in no longer piece - so the machine restarts there, and a whole run between seams is kept as one transition.
 
 A chunk of a text is a state map: what it adds to a run that is open before it (``head``), the tokens of the closed
-runs inside, and the run that it leaves open (``tail``).  State maps compose associatively, so long texts are cut
-into chunks whose maps are composed by a parallel prefix scan.
+runs inside, and the run that it leaves open (``tail``).  These maps join chunks at seams by their text; they are no
+maps from entry states to exit states, and a chunk without a seam is only text until a run around it closes, so a long
+text without spaces is counted in sequence at the end.  They compose associatively: ``count`` composes them by a
+balanced tree (``reduce``); ``scan``, which gives all prefixes, isn't used by it.
 
 Defined results: null text is empty and has no bytes and no tokens; null ids stay null; rows are independent, so
 repeated rows and empty tables need nothing special.
