@@ -38,12 +38,15 @@ MARKS = frozenset(
     "disclaimer sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments commentlist reply replies respond disqus discussion share sharing "
     "social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay pager pagination paging toolbar widget widgets skip copyright".split()
 )
+#: Marks that are words of texts too; inside an article they need evidence (``_stays``).
+DOUBTFUL = frozenset("side notice notices alert disclaimer promotion discussion replies respond share sharing social related recommended recommendations subscription copyright skip".split())
 SAFE = frozenset("html body article main".split())
 #: What an opening tag closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = frozenset("ul ol dl table".split())
 #: Elements that are parts of a list or table rather than containers.
 PARTS = frozenset("tr td th tbody thead tfoot li dt dd ul ol dl table".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd div section article main body".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|$)|<[!?/][^>]*(?:>|$)""", re.S)
@@ -54,15 +57,16 @@ _END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "apart", "points", "chars", "linked", "own", "depth")
+    __slots__ = ("tag", "parent", "apart", "points", "chars", "linked", "own", "depth", "inside", "doubt", "plain")
 
-    def __init__(self, tag: str, parent: Node | None, apart: bool):
-        self.tag, self.parent, self.apart = tag, parent, apart
+    def __init__(self, tag: str, parent: Node | None, apart: bool, doubt: bool = False):
+        self.tag, self.parent, self.apart, self.doubt, self.plain = tag, parent, apart, doubt, False
+        self.inside = tag in ("article", "main") or bool(parent and parent.inside)
         self.depth = parent.depth + 1 if parent else 0
         self.points, self.chars, self.linked, self.own = 0.0, 0, 0, 0
 
 
-def _no_main_text(tag: str, attributes: str) -> bool:
+def _no_main_text(tag: str, attributes: str, marks: frozenset = MARKS) -> bool:
     if tag in APART:
         return True
     if not attributes or tag in SAFE:
@@ -73,11 +77,16 @@ def _no_main_text(tag: str, attributes: str) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and not MARKS.isdisjoint(w.lower() for w in _WORDS.findall(value)):
+        if name in ("class", "id") and not marks.isdisjoint(w.lower() for w in _WORDS.findall(value)):
             return True
     return False
 
 
+def _stays(x: Node) -> bool:
+    """Whether an element with a doubtful mark inside an article is text: few links, and a paragraph or heading or much text."""
+    return x.linked <= 0.3 * x.chars and (x.plain or x.chars >= 200)
+
+
 def read_blocks(page: str) -> list[tuple[Node, str, int]]:
     """(element, text, characters inside links) of every block with text, in page order."""
     node = Node("#page", None, False)
@@ -116,6 +125,8 @@ def read_blocks(page: str) -> list[tuple[Node, str, int]]:
             links = 0 if closing else 1
         elif tag not in BLOCK and tag not in APART:
             if not closing and tag not in VOID and _no_main_text(tag, m.group(3)) and not m.group(3).endswith("/"):
+                if node.inside and not _no_main_text(tag, m.group(3), MARKS - DOUBTFUL):
+                    continue
                 at = _behind(page, at, tag)
         elif tag in VOID:
             flush()
@@ -136,7 +147,9 @@ def read_blocks(page: str) -> list[tuple[Node, str, int]]:
                         if x.tag == "p" or tag not in ("tr",):
                             break
                     x = x.parent
-            node, links = Node(tag, node, node.apart or _no_main_text(tag, m.group(3))), 0
+            marked = _no_main_text(tag, m.group(3))
+            doubt = marked and node.inside and not _no_main_text(tag, m.group(3), MARKS - DOUBTFUL)
+            node, links = Node(tag, node, node.apart or (marked and not doubt), doubt), 0
     flush()
     return blocks
 
@@ -151,8 +164,26 @@ def _behind(page: str, at: int, tag: str) -> int:
     return at
 
 
+def _without_doubtful(blocks: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    chains = []
+    for node, text, linked in blocks:
+        x, chain = node, []
+        while x:
+            if x.doubt:
+                chain.append(x)
+                x.chars += len(text)
+                x.linked += linked
+                x.plain = x.plain or node.tag == "p" or (x is node and node.tag in HEADINGS)
+            x = x.parent
+        chains.append(chain)
+    kept = [b for b, chain in zip(blocks, chains) if all(map(_stays, chain))]
+    for x in (x for chain in chains for x in chain):
+        x.chars = x.linked = 0
+    return kept
+
+
 def main_text(page: str) -> str:
-    blocks = [b for b in read_blocks(page) if not b[0].apart]
+    blocks = _without_doubtful([b for b in read_blocks(page) if not b[0].apart])
     scored: dict[int, Node] = {}
     for node, text, linked in blocks:
         x = node
@@ -188,7 +219,7 @@ def main_text(page: str) -> str:
             links = links or (x.tag in ("ul", "ol", "dl", "table") and x.linked > 0.7 * x.chars)
             child, x = x, x.parent
         if x is best:
-            if not links:
+            if not links or best.tag in ("article", "main"):
                 kept.append(text)
         elif x and best.parent and not links and x.tag not in ("html", "body"):
             plain = x.tag == "p" and x.chars > 80 and x.linked < 0.25 * x.chars

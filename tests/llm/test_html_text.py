@@ -29,6 +29,12 @@ def test_broken_and_bare():
     assert main_text('<p title="a > b">x</p>') == "x"
 
 
+def test_marks_inside_an_article():
+    ids = f"<h2 id='related-work'>Work</h2><p id='copyright'>Law.</p><section id='discussion'><h2 id='side-effects'>Effects</h2><p>{LONG}</p></section><p>An <span id='notice'>inner</span> word.</p>"
+    junk = "<div class='share'>Share this</div><div class='related'><p><a href='#'>Another one</a></p></div><div class='comments'><p>no</p></div>"
+    assert main_text(page(f"<article><p>{LONG}</p>{ids}{junk}<ul><li><a href='#'>Source</a></li></ul></article>")) == f"{LONG}\nWork\nLaw.\nEffects\n{LONG}\nAn inner word.\nSource"
+
+
 def test_table(spark):
     rows = [(1, "u", "<article><p>a</p></article>", "t"), (2, None, None, "t"), (None, "v", "", None), (1, "u", "<article><p>a</p></article>", "t")]
     got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
