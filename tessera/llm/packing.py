@@ -131,6 +131,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     totals = written(totals.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "totals")
     counts = {r.length: r.n for r in totals.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    ranked = pieces.join(totals.drop("n"), ["task", "length"]).select("doc", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
+    # the totals have a row for each task and length, so they are joined by sorting and never broadcast
+    ranked = pieces.join(totals.drop("n").hint("merge"), ["task", "length"]).select("doc", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
     out = ranked.mapInArrow(_place(slots(plan(counts, capacity))), "doc long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.withColumnRenamed("doc", id_col)

@@ -3,12 +3,17 @@
 White space only separates there, so every word is encoded once and remembered.  The merges run in tiktoken's merge
 loop: the end of a word is a byte that no text holds, which the first ranks attach to the last byte.  That loop
 merges any two neighbours whose union is a token, the library only the listed pair; both give the same if every token
-encodes to itself, which ``load`` checks with the library, keeping the library for words that meet an exception.
+encodes to itself, which ``load`` checks against the listed merges; only words that meet an exception need the
+library, which is loaded for the first of them.
+
+The strings of special tokens are their ids wherever they stand, as by the library's default.
 """
 
 from __future__ import annotations
 
+import functools
 import json
+import re
 import unicodedata
 
 import regex
@@ -18,6 +23,8 @@ from tokenizers import Tokenizer
 from .memo import Memo
 
 END = b"\xff"
+#: Words that are remembered in each of two generations.
+WORDS = 60_000
 #: Fixed by the file's own pre-tokenizer; white space is what Unicode says.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 
@@ -31,12 +38,14 @@ def _byte_of_symbol() -> dict[str, int]:
 
 class WordBpe:
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.path = path
         with open(path) as f:
-            vocab = json.load(f)["model"]["vocab"]
+            found = json.load(f)
+        vocab = found["model"]["vocab"]
         byte = _byte_of_symbol()
-        special = set(self.library.get_added_tokens_decoder())
+        self.added = {t["content"].encode(): t["id"].to_bytes(4, "little") for t in found["added_tokens"]}
+        self.specials = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")") if self.added else None
+        special = {t["id"] for t in found["added_tokens"]}
         ranks = {}
         for token, i in vocab.items():
             if i not in special:
@@ -44,15 +53,17 @@ class WordBpe:
                 ranks[bytes(byte[c] for c in word) + END * (word != token)] = i
         ranks[END] = max(vocab.values()) + 1  # never alone
         self.core = tiktoken.Encoding("word", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.odd = self._not_itself(ranks)
+        self.odd = self._not_itself(ranks, _pairs(found["model"]["merges"]))
         self.split = regex.compile(PATTERN)
-        self.words = Memo(self._word, 100_000)
+        self.words = Memo(self._word, WORDS)
+
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
 
-    def _not_itself(self, ranks: dict[bytes, int]) -> set[int]:
+    def _not_itself(self, ranks: dict[bytes, int], listed: list[tuple[str, str]]) -> set[int]:
         """Tokens that the tiktoken loop would make and the listed merges wouldn't."""
-        merges = {}
-        for k, (a, b) in enumerate(_listed(self.library)):
-            merges[a, b] = k
+        merges = {pair: k for k, pair in enumerate(listed)}
         byte = _byte_of_symbol()
         name = {bytes(byte[c] for c in t.removesuffix("</w>")) + END * t.endswith("</w>"): t for pair in merges for t in (pair[0], pair[1], _union(*pair))}
         odd = set()
@@ -81,16 +92,18 @@ class WordBpe:
         return b"".join([i.to_bytes(4, "little") for i in ids])
 
     def encode(self, data: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, data.split()))
+        if self.specials and not self.specials.search(data):
+            return b"".join(map(self.words.__getitem__, data.split()))
+        parts = self.specials.split(data) if self.specials else [data]
+        return b"".join(self.added[part] if k % 2 else b"".join(map(self.words.__getitem__, part.split())) for k, part in enumerate(parts))
 
 
 def _union(a: str, b: str) -> str:
     return a.removesuffix("</w>") + b
 
 
-def _listed(library: Tokenizer) -> list[tuple[str, str]]:
-    found = json.loads(library.to_str())["model"]["merges"]
-    return [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in found]
+def _pairs(merges: list) -> list[tuple[str, str]]:
+    return [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
 
 
 _loaded: dict[str, WordBpe] = {}
