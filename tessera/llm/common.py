@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -47,7 +48,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def id_column(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
+    return F.coalesce(F.col(f"`{name}`").cast("long"), F.lit(NULL_ID))
 
 
 def null_again(name: str) -> Column:
@@ -55,20 +56,41 @@ def null_again(name: str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or a new one where it is unset."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a new one is made in local mode only, where there is one machine; elsewhere that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again.
 
-    The files outlive any executor, and what follows never recomputes ``df``.
+    The files outlive any executor, and what follows never recomputes ``df``.  They go when the application ends, or
+    with ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, place = _place(spark, path)
+    fs.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a written table that nothing reads any more."""
+    fs, place = _place(df.sparkSession, df.written_at)
+    fs.delete(place, True)

@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
+
+#: Edges of a partition that is written, so that small rounds write few files.
+EDGES = 1 << 19
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (u, v: long) -> (node, root): root is the smallest node that can be reached.  Nodes without edges are left out.
 
     Large star: a node's larger neighbours are tied to its smallest neighbour.  Small star: its smaller neighbours
-    and itself are.  Minima are combined before the shuffle, and a hub's edges meet the one row of its minimum in a
-    join that adaptive execution may split.  It ends when a round changes nothing.
+    and itself are.  Minima are combined before the shuffle, and a hub's edges meet the one row of its minimum in an inner
+    join of two shuffled sides, which adaptive execution splits where it is skewed.  It ends when a round changes nothing.
     """
-    e = written(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
-    )
+    e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(e)
     while state[0]:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -25,7 +26,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(lowest.select("u", F.col("m").alias("v")))
-        e = written(small.distinct(), "edges")
+        # a round makes at most twice as many edges as it was given
+        old, e = e, written(small.distinct().coalesce(max(1, 2 * state[0] // EDGES)), "edges")
+        discard(old)
         if (now := _state(e)) == state:
             break
         state = now

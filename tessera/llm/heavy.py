@@ -14,8 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
 
 class Summary:
     def __init__(self, most: int):
@@ -49,7 +47,8 @@ def heavy_keys(keys: DataFrame, least: int, most: int | None = None) -> np.ndarr
     among them if ``least`` rows or more hold it beyond what the summaries may miss; never more than ``most`` keys, which is the number of
     shuffle partitions, 256 at least: a key that isn't among them holds at most about two partitions' share of the rows."""
     most = most or max(256, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = written(keys.mapInArrow(_summaries(most), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "heavy")
-    total = found.where("key is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    large = found.where(F.col("key").isNotNull() & (F.col("n") * most >= total) & (F.col("n") >= least))
-    return np.array(sorted(r.key for r in large.select("key").collect()), np.int64)
+    found = keys.mapInArrow(_summaries(most), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    # the row without a key counts all rows, so it is the first; at most ``most`` keys hold one part in ``most`` of them
+    top = found.orderBy(F.desc("n"), F.col("key").isNotNull()).limit(most + 1).collect()
+    total = next((r.n for r in top if r.key is None), 0)
+    return np.array(sorted(r.key for r in top if r.key is not None and r.n * most >= total and r.n >= least), np.int64)

@@ -1,20 +1,22 @@
 """SimHash near-dedup with a Gray-order hierarchical index.
 
 Fingerprints are reduced to different ones first, so copies cost nothing.  Two fingerprints that differ in at most
-``radius`` bits agree in at least two of ``radius + 2`` bands; each fingerprint is sent once for every pair of
-bands, and those that meet under a pair's bits are indexed together.  The index sorts by Gray rank, where near
-codes are neighbours, joins sixteen neighbours at a time and keeps of each node the bits that all below share.
-Two nodes whose shared bits differ too often are pruned with all that is below them; only surviving leaves are
-compared bit by bit.  Links join components at once, and pairs of leaves that are in one component already are
-skipped, so a dense group never emits its pairs: an index returns a star for each component.
+``radius`` bits agree in at least one of ``radius + 1`` bands; each fingerprint is sent once for every band, and those
+that agree in the leading bits of a band - as few as leave ``GROUP`` fingerprints to a key - are indexed together.  The
+index moves the band's bits to the front and sorts by Gray rank, where near codes are neighbours, joins ``FAN``
+neighbours at a time and keeps of each node the bits that all below share; level by level up to one node for each key.
+Two nodes whose shared bits differ too often, or anywhere in the band, are pruned with all that is below them; only
+surviving leaves are compared bit by bit.  Links join components at once, and pairs of leaves that are in one component
+already are skipped, so a dense group never emits its pairs: an index returns a star for each component.
 
-No index holds a hot key (``heavy.py``: a list of bounded size).  The rows of one are sent again under pairs of bands of
-the bits that the key leaves free, until no key is hot; 14 free bits, after three times, leave 16384 codes at most.
+No index holds more than ``ROWS`` fingerprints: the rows of a larger key are sent again under bands of the bits that its
+band leaves free, until no key is larger; few free bits leave few different codes, so this ends.
 
 ``near_duplicate_filter`` asks for a similarity of shingle sets instead of a radius.  Its fingerprints are longer, and
 its tables are drawn at random, because no set of bands guarantees so wide a radius; the index is the same.  It yields
-candidates only: the sets of each component of candidates are compared themselves.  A hot key, or a component that is
-large, is dealt into blocks, and each two blocks meet: no link is lost, but the rows sent grow with the blocks.
+candidates only: the sets of each component of candidates are compared themselves.  A key of over ``WIDE`` fingerprints,
+or a component that is large, is dealt into blocks, and each two blocks meet: no link is lost, but the rows sent grow
+with the blocks.
 
 Defined results: null text is empty; a text without words has fingerprint zero and links like any other; null ids
 sort first (a component with one has a null ``component_id``); rows that repeat an id are kept, each with its own
@@ -36,17 +38,18 @@ from pyspark.sql import functions as F
 
 from .common import id_column, lean, null_again, written
 from .components import connected_components
-from .heavy import heavy_keys
 
-FAN = 16
-#: Rows that one index holds at least; it is cut only between band keys.
-ROWS = 200_000
+FAN = 8
+#: Fingerprints that a key of a band is meant to have, as a power of two.
+GROUP = 12
+#: Rows that one index holds; more than that of one key are sent again under finer keys.
+ROWS = 1 << 20
+#: Rows that are gathered before complete keys are indexed.
+HELD = 1 << 17
 #: Pairs that are expanded at once.
-PAIRS = 1 << 21
-#: Rows that a key must have to be split.
+PAIRS = 1 << 20
+#: Rows of a block that a key of the long fingerprints is dealt into.
 WIDE = 20_000
-#: Blocks that a hot key of the long fingerprints is dealt into at least.
-BLOCKS = 8
 #: Texts, and shingles, of a block that a large component of candidates is dealt into.
 MEMBERS, SHINGLES = 4096, 1 << 22
 SEED = 42
@@ -101,20 +104,17 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a & b).sum(1, dtype=np.int64)
-
-
 class _Level:
     """Nodes of one level: first child, number of children, bits that all share and their values."""
 
-    def __init__(self, key: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
+    def __init__(self, key: np.ndarray, ones: np.ndarray, zeros: np.ndarray, row: np.ndarray | None = None):
         head = np.r_[True, key[1:] != key[:-1]]
         place = np.arange(len(key))
         place = place - np.maximum.accumulate(np.where(head, place, 0))
         self.first = np.flatnonzero(place % FAN == 0)
         self.count = np.diff(np.r_[self.first, len(key)])
         self.key = key[self.first]
+        self.row = self.first if row is None else row[self.first]  # its first leaf
         self.ones = np.bitwise_and.reduceat(ones, self.first)
         self.zeros = np.bitwise_and.reduceat(zeros, self.first)
 
@@ -136,16 +136,17 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = _flatten(label)
 
 
-def index_components(key: np.ndarray, code: np.ndarray, radius: int) -> np.ndarray:
+def index_components(key: np.ndarray, code: np.ndarray, radius: int, band: np.ndarray | None = None, tally: dict[str, int] | None = None) -> np.ndarray:
     """Rows sorted by (key, Gray rank of code) -> the first row of each row's component among the rows of its key.
 
-    ``code`` may hold several words to a row.
+    ``code`` may hold several words to a row.  Where ``band`` is given, a link may differ in none of its bits (the same
+    for all rows of a key).  ``tally`` counts the pairs of nodes met and pruned, and of leaves compared.
     """
     code = code.reshape(len(key), -1)
     limit = max(1, PAIRS // code.shape[1])
     levels = [_Level(key, code, ~code)]
-    while len(np.unique(levels[-1].key)) < len(levels[-1].key):
-        levels.append(_Level(levels[-1].key, levels[-1].ones, levels[-1].zeros))
+    while len(levels[-1].key) > 1 and (levels[-1].key[1:] == levels[-1].key[:-1]).any():
+        levels.append(_Level(levels[-1].key, levels[-1].ones, levels[-1].zeros, levels[-1].row))
     label = np.arange(len(key))
     top = np.flatnonzero(levels[-1].count + (levels[0].count[levels[-1].first] if len(levels) > 1 else 0) > 1)
     stack = [(len(levels) - 1, top, top)]
@@ -167,23 +168,60 @@ def index_components(key: np.ndarray, code: np.ndarray, radius: int) -> np.ndarr
         nth = np.arange(len(pair)) - np.repeat(np.cumsum(per) - per, per)
         width = level.count[b][pair]
         x, y = level.first[a][pair] + nth // width, level.first[b][pair] + nth % width
+        k = x < y if depth == 0 else x <= y
+        x, y = x[k], y[k]
         if depth == 0:
-            k = (x < y) & (np.bitwise_count(code[x] ^ code[y]).sum(1, dtype=np.int64) <= radius)
-            label = _unite(label, x[k], y[k])
+            apart, at = code[x] ^ code[y], x
         else:
             below = levels[depth - 1]
-            apart = _differ(below.ones[x], below.zeros[y]) + _differ(below.zeros[x], below.ones[y])
-            k = (x <= y) & (apart <= radius)
+            apart, at = (below.ones[x] & below.zeros[y]) | (below.zeros[x] & below.ones[y]), below.row[x]
+        k = np.bitwise_count(apart).sum(1, dtype=np.int64) <= radius
+        if band is not None:
+            k &= (apart[:, 0] & band[at]) == 0
+        if tally is not None:
+            tally["compared" if depth == 0 else "met"] = tally.get("compared" if depth == 0 else "met", 0) + len(k)
+            tally["pruned"] = tally.get("pruned", 0) + (int((~k).sum()) if depth else 0)
+        if depth == 0:
+            label = _unite(label, x[k], y[k])
+        else:
             stack.append((depth - 1, x[k], y[k]))
     return label
 
 
-def _stars(radius: int, words64: int = 1):
-    def solve(key: np.ndarray, node: np.ndarray, *words: np.ndarray) -> pa.RecordBatch:
-        code = np.stack(words, 1).view(U)
-        s = np.lexsort((*(gray_rank(code[:, k]) for k in reversed(range(words64))), key))
-        key, code, node = key[s], code[s], node[s]
-        label = index_components(key, code, radius)
+def bits_first(code: np.ndarray, mask: int) -> np.ndarray:
+    """Codes with the bits of the mask, from its highest, moved to the front; the others follow in their order."""
+    out = np.zeros_like(code)
+    for bit in sorted(range(64), key=lambda b: (not mask >> b & 1, -b)):
+        out = (out << U(1)) | ((code >> U(bit)) & U(1))
+    return out
+
+
+def front(n: int) -> int:
+    return (1 << 64) - (1 << 64 - n) if n else 0
+
+
+def _in_gray_order(columns: list[np.ndarray], words64: int) -> tuple[np.ndarray, ...]:
+    """Rows (key, node, words..., band?) as (key, node, code, band) in the index's order."""
+    key, node, code = columns[0], columns[1], np.stack(columns[2 : 2 + words64], 1).view(U)
+    band = None
+    if len(columns) > 2 + words64:
+        masks, which = np.unique(columns[2 + words64].view(U), return_inverse=True)
+        band = np.zeros(len(key), U)
+        code = code.copy()
+        for k, mask in enumerate(masks.tolist()):
+            own = np.flatnonzero(which == k)
+            code[own, 0] = bits_first(code[own, 0], mask)
+            band[own] = front(mask.bit_count())
+    s = np.lexsort((*(gray_rank(code[:, k]) for k in reversed(range(words64))), key))
+    return key[s], node[s], code[s], None if band is None else band[s]
+
+
+def _stars(radius: int, words64: int = 1, banded: bool = False):
+    """Rows (key, node, words..., band if ``banded``) sorted by key -> a star for each component of a key."""
+
+    def solve(columns: list[np.ndarray]) -> pa.RecordBatch:
+        key, node, code, band = _in_gray_order(columns, words64)
+        label = index_components(key, code, radius, band)
         least = np.full(len(node), np.iinfo(np.int64).max)
         np.minimum.at(least, label, node)
         root = least[label]
@@ -194,16 +232,17 @@ def _stars(radius: int, words64: int = 1):
         held: list[tuple] = []
         n = 0
         for b in batches:
-            held.append(tuple(b.column(i).to_numpy() for i in range(2 + words64)))
+            if not b.num_rows:
+                continue
+            held.append(tuple(b.column(i).to_numpy() for i in range(2 + words64 + banded)))
             n += b.num_rows
-            if n >= ROWS:
+            if n >= HELD and held[0][0][0] != held[-1][0][-1]:
                 columns = [np.concatenate(x) for x in zip(*held)]
-                cut = int(np.searchsorted(columns[0], columns[0][-1]))
-                if cut:
-                    yield solve(*(c[:cut] for c in columns))
+                cut = int(np.flatnonzero(columns[0] != columns[0][-1])[-1]) + 1
+                yield solve([c[:cut] for c in columns])
                 held, n = [tuple(c[cut:] for c in columns)], len(columns[0]) - cut
         if n:
-            yield solve(*(np.concatenate(x) for x in zip(*held)))
+            yield solve([np.concatenate(x) for x in zip(*held)])
 
     return run
 
@@ -214,72 +253,86 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def finer_keys(key: np.ndarray, fixed: np.ndarray, code: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(rows, key, fixed): rows of one key that differ in at most ``radius`` bits have a finer key in common.
+def banded_keys(key: np.ndarray, known: np.ndarray, code: np.ndarray, radius: int, bits: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(rows, key, band): rows of one key that differ in at most ``radius`` bits and in none of ``known`` meet again.
 
-    ``fixed`` masks the bits in which rows of a key agree.  The others are cut into ``radius + 2`` bands, and each pair
-    of bands makes a finer key.  Keys are hashed; a collision costs comparisons only.
+    The bits that ``known`` leaves free are cut into ``radius + 1`` bands, in at least one of which such rows agree.  The
+    first ``bits`` of a band make the key, with the old key and all known bits.  Keys are hashed; a collision costs
+    comparisons only.  ``band`` has the known bits and the band's.
     """
-    for mask in np.unique(fixed):
-        rows = np.flatnonzero(fixed == mask)
-        free = [b for b in range(64) if not int(mask) >> b & 1]
-        edges = [len(free) * i // (radius + 2) for i in range(radius + 3)]
-        bands = [sum(1 << b for b in free[x:y]) for x, y in zip(edges, edges[1:])]
-        for t, (x, y) in enumerate(itertools.combinations(bands, 2), 1):
-            both = U(x | y)
-            yield rows, _mix(_mix(key[rows] + U(t)) ^ (code[rows] & both)), np.full(len(rows), mask | both, U)
+    for mask in np.unique(known).tolist():
+        rows = np.flatnonzero(known == U(mask))
+        free = [b for b in reversed(range(64)) if not mask >> b & 1]
+        edges = [len(free) * i // (radius + 1) for i in range(radius + 2)]
+        old = _mix(key[rows]) ^ (code[rows] & U(mask))
+        for t, (x, y) in enumerate(zip(edges, edges[1:]), 1):
+            lead = sum(1 << b for b in free[x : min(y, x + bits)])
+            band = mask | sum(1 << b for b in free[x:y])
+            yield rows, _mix(_mix(old + U(t)) ^ (code[rows] & U(lead))), np.full(len(rows), band, U)
 
 
-def _send(radius: int, again: bool):
-    """(node, fp), or with ``again`` (key, node, fp, fixed) -> the rows under each of their finer keys."""
+def _send(radius: int, bits: int, again: bool):
+    """(node, fp), or with ``again`` (key, node, fp, band) -> the rows under each of their keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             node, code = (b.column(k).to_numpy() for k in ("node", "fp"))
             none = np.zeros(b.num_rows, U)
-            old = [b.column(k).to_numpy().view(U) for k in ("key", "fixed")] if again else [none, none]
-            for rows, key, fixed in finer_keys(*old, code.view(U), radius):
-                columns = (key.view(np.int64), node[rows], code[rows], fixed.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "fp", "fixed"])
+            old = [b.column(k).to_numpy().view(U) for k in ("key", "band")] if again else [none, none]
+            for rows, key, band in banded_keys(*old, code.view(U), radius, bits):
+                columns = (key.view(np.int64), node[rows], code[rows], band.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "fp", "band"])
 
     return run
 
 
-def block_pairs(hot: np.ndarray, blocks: np.ndarray, names: list[str]):
-    """Deals the rows of key ``hot[i]`` into ``blocks[i]`` blocks and sends each to every pair of blocks with its own,
+def _larger(sent: DataFrame, most: int) -> DataFrame | None:
+    """(key, n) of the keys with more than ``most`` rows, written; None if there are none."""
+    found = written(sent.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).coalesce(8), "larger")
+    return None if found.isEmpty() else found
+
+
+def _block_pairs(names: list[str]):
+    """(key, node, ..., n): deals the rows of a key into n blocks and sends each to every pair of blocks with its own,
     so that any two rows of a key still meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            key = b.column(0).to_numpy()
-            n = blocks[np.searchsorted(hot, key)]
+            key, n = b.column(0).to_numpy(), b.column(b.num_columns - 1).to_numpy()
             own = (_mix(b.column(1).to_numpy().view(U)) % n.astype(U)).astype(np.int64)
             for k in range(int(n.max())):
                 rows = np.flatnonzero(k < n)
                 pair = (np.minimum(own, k)[rows] << 32) | np.maximum(own, k)[rows]
                 new = _mix(_mix(key[rows].view(U) + U(1)) ^ pair.view(U)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(new), *(b.column(c).take(pa.array(rows)) for c in range(1, b.num_columns))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(new), *(b.column(c).take(pa.array(rows)) for c in range(1, b.num_columns - 1))], names=names)
 
     return run
 
 
+def in_blocks(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """``rows`` (key, node, ...), those of a key of ``large`` (key, blocks) under keys of pairs of blocks."""
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    dealt = rows.join(large.select("key", F.col("blocks").cast("long")), "key").mapInArrow(_block_pairs(rows.columns), kind)
+    return rows.join(large.select("key"), "key", "left_anti").unionAll(dealt)
+
+
 def fingerprint_components(prints: DataFrame, radius: int = 3) -> DataFrame:
     """(id, fp) -> (fp, root): for each different fingerprint the smallest id that links reach."""
-    if not 0 <= radius <= 6:
-        raise ValueError("radius must be 0 to 6: more bands leave too few bits to a key")
+    if not 0 <= radius <= 7:
+        raise ValueError("radius must be 0 to 7: more bands leave too few bits to a key")
     nodes = written(prints.groupBy("fp").agg(F.min("id").alias("node")), "nodes")
-    kind, edges = "key long, node long, fp long, fixed long", []
-    sent = nodes.select("node", "fp").mapInArrow(_send(radius, False), kind)
-    while True:  # ends: a key that has few free bits left can't be hot
-        hot = heavy_keys(sent.select("key"), WIDE)
-        is_hot = F.col("key").isin(hot.tolist())
-        few = sent.where(~is_hot) if len(hot) else sent
-        edges.append(few.select("key", "node", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(lean(_stars(radius), None), "u long, v long"))
-        if not len(hot):
+    n = nodes.count()
+    kind, edges, order = "key long, node long, fp long, band long", [], ["key", "node", "fp", "band"]
+    sent = nodes.select("node", "fp").mapInArrow(_send(radius, max(0, n.bit_length() - GROUP), False), kind)
+    while True:  # ends: a key that has few free bits left can't be large
+        large = _larger(sent, ROWS) if n > ROWS else None
+        few = sent if large is None else sent.join(large, "key", "left_anti")
+        edges.append(few.select(*order).repartition("key").sortWithinPartitions("key").mapInArrow(lean(_stars(radius, banded=True), None), "u long, v long"))
+        if large is None:
             break
-        sent = sent.where(is_hot).mapInArrow(_send(radius, True), kind)
+        sent = sent.join(large, "key", "left_semi").select(*order).mapInArrow(_send(radius, 64, True), kind)
     edges = functools.reduce(DataFrame.unionAll, edges)
     roots = connected_components(edges)
     return nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
@@ -431,46 +484,43 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     radius = int(bits_all * share + sigmas * math.sqrt(bits_all * share * (1 - share)))
     names = [f"w{k}" for k in range(words64)]
     longs = ", ".join(f"{n} long" for n in names)
-    texts = _tied(docs, id_col, text_col).select("id_", "tie_", F.col(text_col).cast("string").cast("binary").alias("text_"))
+    texts = docs.select(*_tied(id_col, text_col), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
     prints = texts.mapInArrow(lean(_wide_fingerprints(shingle, words64)), f"id long, tie long, node long, n long, {longs}")
     least = F.min(F.struct("id", "tie")).alias("least")
     nodes = written(prints.groupBy("node").agg(least, *(F.first(c).alias(c) for c in ("n", *names))).select("node", "least.id", "least.tie", "n", *names), "nodes")
-    bits = max(8, round(math.log2(max(2, nodes.count()))) - 10)
+    n = nodes.count()
+    bits = max(8, round(math.log2(max(2, n))) - 10)
     tables = tables_needed(bits_all, share, radius, bits, missed)
     columns = f"node long, {longs}"
     sent = nodes.select("node", *names).mapInArrow(_sampled_keys(words64, bits, tables), f"key long, {columns}")
-    hot = heavy_keys(sent.select("key"), WIDE)
-    if len(hot):
-        is_hot = F.col("key").isin(hot.tolist())
-        size = dict(sent.where(is_hot).groupBy("key").count().collect())  # a row for each hot key
-        blocks = np.array([max(BLOCKS, -(-2 * size[k] // ROWS)) for k in hot.tolist()])
-        dealt = sent.where(is_hot).mapInArrow(block_pairs(hot, blocks, sent.columns), f"key long, {columns}")
-        sent = sent.where(~is_hot).unionAll(dealt)
+    if n > WIDE and (large := _larger(sent, WIDE)):
+        sent = in_blocks(sent, large.select("key", F.ceil(2 * F.col("n") / WIDE).alias("blocks")))
     maybe = connected_components(sent.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_stars(radius, words64), None), "u long, v long"))
     members = written(nodes.join(maybe.withColumnRenamed("root", "key"), "node"), "members")
-    found = members.select("key", "node", *names, F.col("id").alias("id_"), F.col("tie").alias("tie_")).join(texts, ["id_", "tie_"]).dropDuplicates(["node"])
+    found = members.select("key", "node", *names, "id", "tie").join(texts, ["id", "tie"]).dropDuplicates(["node"])
     kept = ["key", "node", *names, "set"]
-    sets = found.select("key", "node", *names, "text_").mapInArrow(lean(_sets(shingle, kept)), f"key long, {columns}, set binary")
-    # a row for each component that is too large for one task
-    large = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / F.lit(MEMBERS)), F.ceil(F.sum("n") / F.lit(SHINGLES))).cast("long").alias("blocks")).where("blocks > 1").orderBy("key").collect()
-    if large:
-        is_large = F.col("key").isin([r.key for r in large])
-        sets = written(sets, "sets")
-        dealt = sets.where(is_large).mapInArrow(block_pairs(np.array([r.key for r in large]), np.array([r.blocks for r in large]), kept), f"key long, {columns}, set binary")
-        sets = sets.where(~is_large).unionAll(dealt)
+    sets = found.select("key", "node", *names, "text").mapInArrow(lean(_sets(shingle, kept)), f"key long, {columns}, set binary")
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(MEMBERS)), F.ceil(F.sum("n") / F.lit(SHINGLES))).cast("long")
+    large = written(members.groupBy("key").agg(blocks.alias("blocks")).where("blocks > 1").coalesce(8), "large")
+    if not large.isEmpty():
+        sets = in_blocks(written(sets, "sets"), large)
     links = sets.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_alike_stars(radius, similarity, words64), None), "u long, v long")
     return nodes, nodes.select("node").join(connected_components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def _tied(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``id_`` and ``tie_``, which tell rows of different texts apart where an id is repeated."""
-    return docs.withColumns({"id_": id_column(id_col), "tie_": F.xxhash64(F.col(text_col).cast("string"))})
+def _tied(id_col: str, text_col: str) -> list:
+    """``id`` and ``tie``, which tell rows of different texts apart where an id is repeated."""
+    return [id_column(id_col).alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("tie")]
 
 
 def near_duplicate_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` without those near another of smaller id: of each component the smallest id stays, once."""
+    """The rows of ``docs`` without those near another of smaller id: of each component the smallest id stays, once.
+
+    Defined results: texts that are null, empty or white space have no shingles, are one group and leave one row; null ids
+    sort first; of rows that repeat an id and its text one stays, rows that repeat an id with other texts are told apart
+    by a hash of the text; an empty table stays empty; all columns are kept as they are, whatever their names.
+    """
     nodes, roots = similarity_components(docs, id_col, text_col, shingle, similarity)
-    stay = nodes.join(roots, "node").groupBy("root").agg(F.min(F.struct("id", "tie")).alias("least"))
-    stay = stay.select(F.col("least.id").alias("id_"), F.col("least.tie").alias("tie_"))
-    rows = _tied(docs, id_col, text_col)
-    return rows.join(stay, ["id_", "tie_"], "left_semi").dropDuplicates(["id_", "tie_"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    stay = nodes.join(roots, "node").groupBy("root").agg(F.min(F.struct("id", "tie")).alias("least")).select("least.id", "least.tie")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_tied(id_col, text_col))
+    return rows.join(stay, ["id", "tie"], "left_semi").dropDuplicates(["id", "tie"]).select("row.*")

@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 
 from tessera.llm import simhash
-from tessera.llm.simhash import fingerprint, fingerprint_components, gray_rank, index_components, near_duplicate_filter, simhash_dedup
+from tessera.llm.simhash import bits_first, fingerprint, fingerprint_components, front, gray_rank, index_components, near_duplicate_filter, simhash_dedup
 from tessera.llm.components import connected_components
 
 
@@ -72,34 +72,66 @@ def test_against_brute_force(spark):
     assert len(set(want)) < len(rows) - 10
 
 
-def test_hot_keys_lose_no_link(spark, monkeypatch):
+def test_band_of_the_index_against_all_pairs():
+    rng = random.Random(7)
+    center = [rng.getrandbits(64) for _ in range(3)]
+    code = np.array(sorted({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for c in center for _ in range(200)}), np.uint64)
+    mask = 0xFF00000000FF
+    turned = bits_first(code, mask)
+    assert all((int(a ^ b)).bit_count() == (int(x ^ y)).bit_count() for a, b, x, y in zip(code, code[1:], turned, turned[1:]))
+    assert {int(x >> np.uint64(48)) for x in turned} == {(int(c) >> 40 & 0xFF) << 8 | int(c) & 0xFF for c in code}
+    turned = turned[np.argsort(gray_rank(turned))]
+    want = roots(len(turned), lambda i, j: int(turned[i] ^ turned[j]).bit_count() <= 3 and int(turned[i] ^ turned[j]) >> 48 == 0)
+    assert index_components(np.zeros(len(turned), np.int64), turned, 3, np.full(len(turned), front(16), np.uint64)).tolist() == want
+
+
+def test_upper_nodes_prune_whole_groups():
+    rng = np.random.default_rng(8)
+    code = np.unique(rng.integers(0, 2**63, 4096, np.uint64))
+    code = code[np.argsort(gray_rank(code))]
+    tally = {}
+    index_components(np.zeros(len(code), np.int64), code, 3, np.full(len(code), front(16), np.uint64), tally)
+    assert tally["pruned"] > 0.5 * tally["met"] and tally["compared"] < 20 * len(code) < len(code) ** 2 / 100, tally
+
+
+def test_large_keys_lose_no_link(spark, monkeypatch):
     rng = random.Random(3)
     center = rng.getrandbits(64)
     codes = sorted({center ^ sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2, 3, 9]))) for _ in range(900)})
     rows = [(i, c - 2**64 if c >= 2**63 else c) for i, c in enumerate(codes)]
     want = roots(len(codes), lambda i, j: (codes[i] ^ codes[j]).bit_count() <= 3)
-    sent = []
-    real = simhash.heavy_keys
-    monkeypatch.setattr(simhash, "WIDE", 8)
-    monkeypatch.setattr(simhash, "heavy_keys", lambda keys, least: sent.append(len(h := real(keys, least))) or h)
+    found = []
+    real = simhash._larger
+    monkeypatch.setattr(simhash, "ROWS", 40)
+    monkeypatch.setattr(simhash, "HELD", 16)
+    monkeypatch.setattr(simhash, "_larger", lambda sent, most: found.append(real(sent, most)) or found[-1])
     got = {r.fp: r.root for r in fingerprint_components(spark.createDataFrame(rows, "id long, fp long"), 3).collect()}
     assert [got[fp] for _, fp in rows] == want
-    assert len(sent) > 2 and sent[0] and not sent[-1]
+    assert len(found) > 2 and found[-1] is None
 
 
-def test_hot_keys_of_the_filter(spark, monkeypatch):
+def test_large_keys_of_the_filter(spark, monkeypatch):
     rng = random.Random(4)
     base = ["w%d" % rng.randrange(10**6) for _ in range(400)]
     rows = [(i, " ".join(rng.choice(["x", "y%d" % i]) if rng.random() < 0.01 else w for w in base)) for i in range(300)]
     rows += [(1000 + i, " ".join("v%d" % rng.randrange(10**6) for _ in range(200))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     plain = sorted(r.doc_id for r in near_duplicate_filter(docs).collect())
-    for name, value in (("WIDE", 10), ("ROWS", 40)):
+    for name, value in (("WIDE", 60), ("HELD", 40), ("MEMBERS", 50)):
         monkeypatch.setattr(simhash, name, value)
     assert sorted(r.doc_id for r in near_duplicate_filter(docs).collect()) == plain
     assert len(plain) < 70 and {r[0] for r in rows[300:]} <= set(plain)
 
 
+def test_clashing_names_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long, 77, 88, "a", 5), (2, long + " x", 78, 89, "b", 6), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id_ long, tie_ long, id string, `row` long")
+    got = near_duplicate_filter(docs).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[0], rows[2]])) and got[0].asDict().keys() == set(docs.columns)
+    assert {r.component_id for r in simhash_dedup(docs).collect()} <= {1, 2, None}
+
+
 def test_nulls_repeats_and_empty(spark):
     got = simhash_dedup(spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (4, None)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (3, 0), (3, 0), (4, 4)]
