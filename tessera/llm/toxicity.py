@@ -3,20 +3,24 @@
 1. A character trigram model is counted over all documents (its size is that of the alphabet).
 2. Disguised words - letters written as digits or signs, letters pulled apart, letters repeated - become character
    lattices: what each sign may stand for, that separators may be skipped and repeats dropped, each at a channel
-   cost.  Viterbi decoding under the trigram model restores the most likely word.
-3. A lexicon is learned from a bounded, balanced sample of labelled documents (``sample`` of each class, smallest
-   hashes first).  Its terms are words, and stems that a document uses several times.  A term counts once for each different pair of neighbours, so copies of one document are one
-   witness.  Words of which an exact binomial test, corrected for the number of words, says that most documents with
-   them are toxic get that probability.
-4. The score is the largest probability among a document's plain and restored words and stems, or the rate of
-   documents without any.
+   cost.  Viterbi decoding under the trigram model restores the most likely word, which takes the place of the
+   disguise: learning and scoring see restored texts only.
+3. Weights are learned from a bounded, balanced sample of labelled documents (``sample`` of each class, smallest hashes
+   first).  Terms are words, and stems that a document uses several times.  A term counts once for each different pair
+   of neighbours, so copies of one document are one witness.  A term's weight is the probability that a document with
+   it is toxic, by the lower bound of its rate in toxic documents and the upper bound of that in others (score
+   intervals of ``SIGMAS`` standard deviations).  Every term whose bounds are ``LIFT`` times apart has a weight; there
+   is no cap on their number, which the sample bounds.
+4. A score is graded: each family of terms (words and stems with the same first letters) is one piece of evidence, as
+   strong as its strongest term, and the score is the probability that any of them is right, or the rate of documents
+   without any term.
 
 Labels of held-out documents (crc32 of the id as text divisible by 5) are never read.  Language, source and id are
 no inputs of a score.
 
 Defined results: null and empty texts score the rate without any word; a null id isn't held out, and its labels don't
-count; of repeated labels of one id the worst counts; repeated rows score alike; with no usable labels every score
-is the prior; an empty table gives an empty result.
+count, nor do null labels; of repeated labels of one id the worst counts; repeated rows score alike; with no usable
+labels of either class every score is the prior; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +41,10 @@ from .memo import Memo
 
 #: Labelled documents of each class that the lexicon is learned from, at most.
 SAMPLE = 3000
-#: Words of the lexicon, at most: the best witnessed.
-LEXICON = 2000
-ERROR = 0.05
-#: A word enters the lexicon if surely more than this share of the documents with it are toxic.
-SURE = 0.6
+#: Standard deviations of a term's bounds, and how far apart they must be.
+SIGMAS, LIFT = 3.0, 4.0
+#: Letters that terms of one family have in common.
+FAMILY = 4
 FOLDS = 5
 #: Lengths of stems, and how often a document must use one.
 STEMS, LEAST = (4, 5, 6, 7), (2, 3)
@@ -57,9 +61,10 @@ COST_SIGN, COST_SKIP, COST_REPEAT, COST_DROP = 1.0, 0.7, 1.0, 14.0
 
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"\S+")
-#: One separator, the same each time, between single characters.
-_APART = re.compile(r"(?<!\S)[^\s.\-_~·/\\]([ .\-_*~·/\\])(?:[^\s.\-_~·/\\]\1)+[^\s.\-_~·/\\,!?;:](?![^\s.,!?;:*#$%&])")
+#: Single characters with one to three separators, mixed ones too, between each two.
+_APART = re.compile(r"(?<!\S)[^\s.\-_~·/\\](?:[ .\-_*~·/\\]{1,3}[^\s.\-_~·/\\,!?;:*](?![^\s.\-_*~·/\\,!?;:#$%&])){2,}")
 _RUN = re.compile(r"([^\W\d_])\1\1")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
 _INNER = re.compile("[" + re.escape("".join(SIGNS) + ".-_~·/\\​‌‍­") + "]")
 _TRAIL = re.compile(r"^[^\w@$!|(+€£]+|^([^\w])\1+|[^\w]+$")
 _HOT = re.compile(r"[0-9@$!|+(€£¥*#._~·/\\​‌‍­Ѐ-ӿ-]|([^\W\d_])\1\1")
@@ -96,20 +101,20 @@ class Restorer:
 
     def decode(self, token: str) -> str:
         """The word that a token most likely disguises."""
-        # state: the last two letters -> (cost, word)
-        states = {(0, 0): (0.0, "")}
+        # state: the last two letters -> (cost, letters so far, each with those before it, which paths share)
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for sign in token:
             own = ord(sign) - 96 if "a" <= sign <= "z" else 27 if sign.isalpha() and sign not in SIGNS else 0
             edges = [(own, sign, 0.0)] if own else []
             edges += [(ord(x) - 96, x, COST_SIGN) for x in SIGNS.get(sign, "")]
             skip = COST_SKIP if sign in SEPARATORS else COST_DROP if not own else None
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, word) in states.items():
                 row = self.cost[a][b]
                 for letter, char, channel in edges:
                     c = cost + channel + row[letter]
                     if (b, letter) not in new or c < new[b, letter][0]:
-                        new[b, letter] = c, word + char
+                        new[b, letter] = c, (word, char)
                     if letter == b:
                         c = cost + channel + COST_REPEAT
                         if (a, b) not in new or c < new[a, b][0]:
@@ -117,26 +122,35 @@ class Restorer:
                 if skip is not None and (((a, b) not in new) or cost + skip < new[a, b][0]):
                     new[a, b] = cost + skip, word
             states = new
-        return min((cost + self.cost[a][b][0], word) for (a, b), (cost, word) in states.items())[1]
-
-    def disguised(self, text: str) -> Iterator[tuple[bool, str]]:
-        """(whether its letters were pulled apart, restored word) of the disguised words of a lower-case text."""
-        for m in _APART.finditer(text):
-            yield True, self.memo[m.group()]
-        for token in text.split():
-            if not _HOT.search(token):
-                continue
-            core = _TRAIL.sub("", token)
-            if len(core) < 3 or core.isdigit():
-                continue
-            if _RUN.search(core) or (_INNER.search(core) and any(map(str.isalpha, core))):
-                for part in {core, *core.split("-"), *core.split("/")} if "-" in core or "/" in core else (core,):
-                    yield False, self.memo[part]
+        _, _, word = min((cost + self.cost[a][b][0], (a, b), word) for (a, b), (cost, word) in states.items())
+        letters = []
+        while word:
+            word, letter = word
+            letters.append(letter)
+        return "".join(reversed(letters))
+
+    def restored(self, text: str) -> tuple[str, list[str]]:
+        """A text in lower case with its disguised words restored, and those restored ones whose letters were pulled apart."""
+        apart: list[str] = []
+
+        def join(m: re.Match) -> str:
+            apart.append(self.memo[m.group()])
+            return apart[-1]
+
+        out = []
+        for token in _APART.sub(join, text.lower()).split():
+            if _HOT.search(token):
+                core = _TRAIL.sub("", token)
+                if len(core) >= 3 and not core.isdigit() and (_RUN.search(core) or (_INNER.search(core) and any(map(str.isalpha, core)))):
+                    out.append(self.memo[core])
+                    if "-" in core or "/" in core:
+                        out += [self.memo[part] for part in re.split("[-/]", core) if len(part) > 1]
+                    continue
+            out.append(token)
+        return " ".join(out), apart
 
     def words(self, text: str) -> list[str]:
-        """Plain words and restored ones of a text."""
-        text = text.lower()
-        return _WORD.findall(text) + [w for _, w in self.disguised(text)]
+        return _WORD.findall(self.restored(text)[0])
 
 
 def held_out(id_col: str) -> Column:
@@ -174,11 +188,10 @@ def _witnesses(counts: np.ndarray):
     return run
 
 
-def _log_tail(k: int, n: int, p: float) -> float:
-    """log P(X >= k) of a binomial."""
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1)]
-    top = max(logs)
-    return top + math.log(sum(math.exp(x - top) for x in logs))
+def bounds(n: Column, sigmas: float = SIGMAS) -> tuple[Column, Column]:
+    """Lower and upper bound of an expected count of which n were seen."""
+    middle, half = n + sigmas**2 / 2, sigmas * F.sqrt(n + sigmas**2 / 4)
+    return middle - half, middle + half
 
 
 def squeeze(word: str) -> str:
@@ -187,35 +200,49 @@ def squeeze(word: str) -> str:
 
 
 class Model:
-    def __init__(self, counts: np.ndarray, lexicon: dict[str, float], prior: float):
-        self.counts, self.lexicon, self.prior = counts, lexicon, prior
-
-    def scorer(self):
-        restorer = Restorer(self.counts)
-        lexicon = {t: p for t, p in self.lexicon.items() if "*" not in t}
-        stems = [(*t.split("*"), p) for t, p in self.lexicon.items() if "*" in t]
-        stems = [(stem, int(least), p, re.compile(rf"(?<![^\W\d_]){stem}")) for stem, least, p in stems]
-        squeezed = {squeeze(w): w for w in lexicon}
+    """``weights``: of each term the probability of toxicity that it alone gives; ``prior``: without any term."""
+
+    def __init__(self, counts: np.ndarray, weights: dict[str, float], prior: float):
+        self.counts, self.weights, self.prior = counts, weights, prior
+
+    def scorer(self, decode: bool = True):
+        """The score of a text; ``decode`` off: of the text as it is written (to see what decoding decides)."""
+        restorer, weights = Restorer(self.counts), self.weights
+        words = {t: p for t, p in weights.items() if "*" not in t}
+        stems = {t.partition("*")[0] for t in weights if "*" in t}
+        lengths = sorted({len(t) for t in stems})
+        squeezed = {squeeze(w): w for w in sorted(words, key=words.get)}
+        longest = max(map(len, squeezed), default=0)
+
+        def inside(joined: str) -> Iterator[str]:
+            """Known words in letters that were pulled apart: where words begin isn't known."""
+            joined = squeeze(joined)
+            for i in range(len(joined)):
+                for j in range(i + FAMILY, min(len(joined), i + longest) + 1):
+                    if joined[i:j] in squeezed:
+                        yield squeezed[joined[i:j]]
 
         def score(text: str | None) -> float:
-            best = self.prior
-            if text:
-                text = text.lower()
-                hit = lexicon.keys() & set(_WORD.findall(text))
-                restored = []
-                for apart, w in restorer.disguised(text):
-                    restored.append(w)
-                    w = squeeze(w)
-                    if w in squeezed:
-                        hit.add(squeezed[w])
-                    elif apart:  # where words begin among single letters isn't known
-                        hit.update(whole for short, whole in squeezed.items() if len(short) > 3 and short in w)
-                best = max([best, *(lexicon[w] for w in hit)])
-                for stem, least, p, pattern in stems:
-                    if p > best and text.count(stem) + len(restored) >= least:
-                        if len(pattern.findall(text)) + sum(w.startswith(stem) for w in restored) >= least:
-                            best = p
-            return best
+            if not text:
+                return self.prior
+            text, apart = restorer.restored(text) if decode else (text.lower(), [])
+            found = _WORD.findall(text)
+            best: dict[str, float] = {}
+            for w in set(found).difference(words):
+                if _DOUBLE.search(w) and decode and (known := squeezed.get(squeeze(w))):
+                    best[known[:FAMILY]] = max(best.get(known[:FAMILY], 0.0), words[known])
+            for w in words.keys() & set(found):
+                best[w[:FAMILY]] = max(best.get(w[:FAMILY], 0.0), words[w])
+            for joined in apart:
+                for w in inside(joined):
+                    best[w[:FAMILY]] = max(best.get(w[:FAMILY], 0.0), words[w])
+            for k in lengths:
+                times = Counter(w[:k] for w in found)
+                for stem in stems & times.keys():
+                    for least in LEAST:
+                        if times[stem] >= least and (p := weights.get(f"{stem}*{least}")):
+                            best[stem[:FAMILY]] = max(best.get(stem[:FAMILY], 0.0), p)
+            return 1 - (1 - self.prior) * math.prod(1 - best[f] for f in sorted(best))
 
         return score
 
@@ -225,7 +252,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = np.zeros(LETTERS**3, np.int64)
     for r in docs.select(text.cast("binary").alias("text")).mapInArrow(lean(count_trigrams), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         counts[r.gram] = r.n  # at most 28^3 rows
-    known = labels.where(F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
+    usable = F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)
+    known = labels.where(usable).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     seen = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     prior = (seen.get(1, 0) + 0.5) / (sum(seen.values()) + 1)
     if not seen.get(1) or not seen.get(0):
@@ -234,18 +262,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text).join(F.broadcast(chosen[0].unionAll(chosen[1])), "id")  # 2 x sample rows at most
     pairs = rows.select("text", "toxic").mapInArrow(lean(_witnesses(counts)), "word string, near long, toxic int")
     by_word = pairs.groupBy("word", "near").agg(F.max("toxic").alias("toxic")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    tested = by_word.where("bad >= 4 and bad > 3 * good").orderBy(F.desc("bad"), "word").limit(LEXICON).collect()
-    size = {t: max(1, min(sample, seen[t])) for t in (0, 1)}
-    # the share of toxic witnesses in the sample that stands for SURE of all documents with the word
-    odds = SURE / (1 - SURE) * (size[1] / prior) / (size[0] / (1 - prior))
-    share = odds / (1 + odds)
-    lexicon = {}
-    for r in tested:
-        if _log_tail(r.bad, r.bad + r.good, share) <= math.log(ERROR / max(1, len(tested))):
-            bad, good = (r.bad + 0.5) / size[1] * prior, (r.good + 0.5) / size[0] * (1 - prior)
-            lexicon[r.word] = bad / (bad + good)
-    silent = 0.5 * prior / (0.5 * prior + 1 - prior)  # without any known word
-    return Model(counts, lexicon, silent if lexicon else prior)
+    size = {t: min(sample, seen[t]) for t in (0, 1)}
+    lift = bounds(F.col("bad"))[0] / size[1] / (bounds(F.col("good"))[1] / size[0])
+    odds = F.col("lift") * (prior / (1 - prior))
+    weights = {r.word: r.p for r in by_word.select("word", lift.alias("lift")).where(F.col("lift") >= LIFT).select("word", (odds / (1 + odds)).alias("p")).collect()}
+    return Model(counts, weights, 0.5 * prior / (0.5 * prior + 1 - prior) if weights else prior)
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,7 +287,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def toxicity_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below 0.5, unchanged and without a shuffle."""
+    """The rows of ``docs`` that score below 0.5, unchanged and without a shuffle.
+
+    Defined results: as above; null and empty texts stay, repeated rows stay or go together, a score of exactly 0.5 goes, an
+    empty table stays empty; all columns are kept as they are, whatever their names.
+    """
     model = learn(docs, labels, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

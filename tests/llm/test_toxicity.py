@@ -1,9 +1,13 @@
 import random
 import zlib
 
-from tessera.llm.toxicity import toxicity, toxicity_filter
+import numpy as np
 
-DISGUISED = ["you m0r0n there", "what an i d i o t he is", "such a m.o.r.o.n. again", "moooooron and", "1d10t", "an !diot"]
+from tessera.llm.toxicity import COST_DROP, COST_REPEAT, COST_SIGN, COST_SKIP, LETTERS, SEPARATORS, SIGNS, Restorer, count_trigrams, learn, toxicity, toxicity_filter
+
+DISGUISED = [
+    "you m0r0n there", "what an i d i o t he is", "such a m.o.r.o.n. again", "moooooron and", "1d10t", "an !diot", "an iddiot", "m o-r o n", "i  d i   o t", "mmoron", "m-0-r-0-n",
+]
 
 
 def corpus():
@@ -35,11 +39,69 @@ def test_held_out_accuracy_and_disguises(spark):
     assert [got[i].predicted for i in range(1500)] == [int(i % 6 == 0) for i in range(1500)]
     assert all(got[10_000 + k].predicted for k in range(len(DISGUISED))), [(t, got[10_000 + k].score) for k, t in enumerate(DISGUISED)]
     assert not any(got[i].predicted for i in (20_000, 20_001, 20_002, None))
+    model = learn(docs, labels)
+    plain, full = model.scorer(decode=False), model.scorer()
+    assert all(plain(t) < 0.5 <= full(t) for t in DISGUISED), [(t, plain(t), full(t)) for t in DISGUISED]
+    assert len({r.score for r in got.values()}) > 3
     kept = toxicity_filter(docs, labels)
     assert kept.columns == docs.columns
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted(-1 if i is None else i for i, r in got.items() if not r.predicted)
 
 
+def cheapest(cost, token):
+    """Every path through a token's lattice, one after another: the least cost and its words."""
+    found = []
+
+    def walk(k, a, b, spent, word):
+        if k == len(token):
+            found.append((spent + cost[a][b][0], word))
+            return
+        sign = token[k]
+        own = ord(sign) - 96 if "a" <= sign <= "z" else 0
+        for letter, channel in [(own, 0.0)] * bool(own) + [(ord(x) - 96, COST_SIGN) for x in SIGNS.get(sign, "")]:
+            walk(k + 1, b, letter, spent + channel + cost[a][b][letter], word + chr(96 + letter))
+            if letter == b:
+                walk(k + 1, a, b, spent + channel + COST_REPEAT, word)
+        if sign in SEPARATORS or not own:
+            walk(k + 1, a, b, spent + (COST_SKIP if sign in SEPARATORS else COST_DROP), word)
+
+    walk(0, 0, 0, 0.0, "")
+    least = min(found)[0]
+    return least, {w for c, w in found if c < least + 1e-9}
+
+
+def test_decoding_against_all_paths():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    text = " ".join(rng.choice(["idiot", "moron", "test", "tool", "glass", "hello"]) for _ in range(400)).encode()
+    counts = np.zeros(LETTERS**3, np.int64)
+    for b in count_trigrams([pa.RecordBatch.from_arrays([pa.array([text, None])], names=["t"])]):
+        counts[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    own = Restorer(counts)
+    for _ in range(400):
+        token = "".join(rng.choice(list("idotmrn10!$.-o7*g%") + ["oo"]) for _ in range(rng.randint(1, 6)))
+        assert own.decode(token) in cheapest(own.cost, token)[1], token
+    assert own.decode("1d1.0t") == "idiot"
+
+
+def test_null_labels_change_nothing(spark):
+    rows, labels, _ = corpus()
+    docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    one = learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    two = learn(docs, spark.createDataFrame(labels + [(i, None) for i in range(0, 1500, 7)], "doc_id long, toxic int"))
+    assert one.prior == two.prior and one.weights == two.weights and one.weights
+
+
+def test_very_long_text(spark):
+    rows, labels, words = corpus()
+    model = learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    score = model.scorer()
+    long = " ".join(words * 500)
+    assert score(long) < 0.5 <= score(long + " m.o.r.o.n")
+    assert score("x" * 300_000) < 0.5 and score("a " * 100_000) < 0.5
+
+
 def test_without_labels_or_rows(spark):
     none, labels = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity(none, labels).collect() == []
