@@ -7,11 +7,12 @@ there.  That window is the state; a transition reads one character and is annota
 first met and then only looked up; the windows are bounded, so the machine is finite and deterministic.  No piece goes over a *seam* - the start of a run of spaces, or either side of a character
 that is in no longer piece - so the machine restarts there, and a whole run between seams is kept as one transition.
 
-A chunk of a text is a state map: what it adds to a run that is open before it (``head``), the tokens of the closed
-runs inside, and the run that it leaves open (``tail``).  These maps join chunks at seams by their text; they are no
-maps from entry states to exit states, and a chunk without a seam is only text until a run around it closes, so a long
-text without spaces is counted in sequence at the end.  They compose associatively: ``count`` composes them by a
-balanced tree (``reduce``); ``scan``, which gives all prefixes, isn't used by it.
+A long text is cut into chunks, and each chunk becomes a state map: from the states in which it may be entered to the
+state in which it is left and the tokens in between.  Where the chunk before holds a seam, the one state at its end is
+known from what stands behind its last seam, so maps don't wait for each other; only a chunk that follows one without a
+seam is mapped on what that one's map leads to.  Maps compose associatively, and ``scan`` composes them to all prefixes by
+doubling; the count of a text is the last prefix at the start state.  States are written as what they stand for, so maps
+outlive a machine that is compiled anew.
 
 Defined results: null text is empty and has no bytes and no tokens; null ids stay null; rows are independent, so
 repeated rows and empty tables need nothing special.
@@ -20,14 +21,14 @@ repeated rows and empty tables need nothing special.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from typing import NamedTuple
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .memo import Memo
 from .spines import NEVER, Spines
 
@@ -38,21 +39,19 @@ CHUNK = 1 << 15
 STATES = 200_000
 
 
-class StateMap(NamedTuple):
-    """``closed``: whether there is a seam inside; if not, all of the chunk is in ``head``."""
-
-    head: str
-    inner: int
-    tail: str
-    closed: bool
+#: A state: the characters of the window, and for each place in it the piece that ends there and its tokens less than now.
+State = tuple[str, tuple]
+START: State = ("", (("", 0),))
+#: From states of entry to the state that follows and the tokens in between.
+StateMap = dict[State, tuple[State, int]]
 
 
 class Transducer:
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
         self.longest = max(map(len, scores))
-        inside = {c for p in scores if len(p) > 1 for c in p}
-        self.alone = re.compile("[^" + re.escape("".join(sorted(inside))) + "]")
+        self.inside = {c for p in scores if len(p) > 1 for c in p}
+        self.alone = re.compile("[^" + re.escape("".join(sorted(self.inside))) + "]")
         self.seam = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         #: Proper prefixes of pieces: only from where one starts can a longer piece reach over what comes next.
         self.prefixes = {p[:k] for p in scores for k in range(1, len(p))}
@@ -60,6 +59,7 @@ class Transducer:
         self.restart()
         self.runs = Memo(self._run)
         self.after_space = Memo(lambda word: self.count_run(SPACE + word))
+        self.from_start = Memo(lambda text: self._walk(START, text))
 
     @classmethod
     def load(cls, path: str) -> Transducer:
@@ -96,17 +96,20 @@ class Transducer:
         kept = [p if k == len(text) or text[k:] in self.prefixes else None for k, p in enumerate(here)]
         from_ = next(k for k, p in enumerate(kept) if p is not None)
         new = (text[from_:], tuple(p and (p[0], p[1] - tokens) for p in kept[from_:]))
-        to = self.numbers.get(new)
-        if to is None:
-            to = self.numbers[new] = len(self.states)
-            self.states.append(new)
-            self.steps.append({})
+        to = self.number(new)
         self.steps[state][char] = to, tokens
         return to, tokens
 
+    def number(self, state: State) -> int:
+        if (at := self.numbers.get(state)) is None:
+            at = self.numbers[state] = len(self.states)
+            self.states.append(state)
+            self.steps.append({})
+        return at
+
     def restart(self) -> None:
-        self.states: list[tuple] = [("", (("", 0),))]
-        self.numbers: dict[tuple, int] = {self.states[0]: 0}
+        self.states: list[State] = [START]
+        self.numbers: dict[State, int] = {START: 0}
         self.steps: list[dict[str, tuple[int, int]]] = [{}]
 
     def _run(self, run: str) -> int:
@@ -135,17 +138,56 @@ class Transducer:
     def _char(self, char: str) -> int:
         return 1 if char in self.scores else len(char.encode())
 
-    def map_chunk(self, chunk: str) -> StateMap:
-        """Seams of a chunk that need no neighbour: before a space that follows another character."""
-        first = re.search(f"(?<=[^{SPACE}]){SPACE}", chunk)
-        if not first:
-            return StateMap(chunk, 0, "", False)
+    def _walk(self, entry: State, text: str) -> tuple[State, int]:
+        """The machine itself: from a state over a text without seams at spaces."""
+        tokens = 0
+        for k in range(0, len(text), STATES):
+            if len(self.states) > STATES:
+                self.restart()
+            state, steps = self.number(entry), self.steps
+            for char in text[k : k + STATES]:
+                if char in self.inside:
+                    state, more = steps[state].get(char) or self.compile(state, char)
+                    tokens += more
+                else:
+                    state, tokens = 0, tokens + self._char(char)
+            entry = self.states[state]
+        return entry, tokens
+
+    def walk(self, entry: State, text: str) -> tuple[State, int]:
+        return self.from_start[text] if entry == START else self._walk(entry, text)
+
+    def seams(self, chunk: str, before: str) -> tuple[int, int] | None:
+        """The first and the last place in a chunk where a run of spaces starts; ``before`` is the character before it."""
+        m = re.search(f"(?<=[^{SPACE}]){SPACE}", chunk)
+        first = 0 if chunk[0] == SPACE and before and before != SPACE else m.start() if m else None
+        if first is None:
+            return None
         end = chunk.rfind(SPACE)
         while end and chunk[end - 1] == SPACE:
             end -= 1
-        if end <= first.start():
-            return StateMap(chunk[: first.start()], 0, chunk[first.start() :], True)
-        return StateMap(chunk[: first.start()], self.count_inner(chunk[first.start() : end]), chunk[end:], True)
+        return first, max(first, end)
+
+    def map_chunk(self, chunk: str, before: str, entries: Iterable[State]) -> StateMap:
+        found = self.seams(chunk, before)
+        if not found:
+            return {s: self.walk(s, chunk) for s in entries}
+        first, last = found
+        inner = self.count_inner(chunk[first:last]) if last > first else 0
+        leave, tail = self.walk(START, chunk[last:])
+        return {s: (leave, self.walk(s, chunk[:first])[1] + inner + tail) for s in entries}
+
+    def map_chunks(self, text: str, chunk: int) -> list[StateMap]:
+        maps: list[StateMap] = []
+        for at in range(0, len(text), chunk):
+            if not at:
+                entries = [START]
+            else:
+                own = text[at - chunk : at]
+                found = self.seams(own, text[at - chunk - 1] if at > chunk else "")
+                entries = [self.walk(START, own[found[1] :])[0]] if found else {leave for leave, _ in maps[-1].values()}
+            maps.append(self.map_chunk(text[at : at + chunk], text[at - 1] if at else "", entries))
+        return maps
 
     def count_inner(self, text: str) -> int:
         """Runs that each start with spaces."""
@@ -153,38 +195,23 @@ class Transducer:
             return self.count_run(text)
         return sum(map(self.after_space.__getitem__, text[1:].split(SPACE)))
 
-    def compose(self, a: StateMap, b: StateMap) -> StateMap:
-        if not a.closed and not b.closed:
-            joined = a.head + b.head
-            return self.map_chunk(joined) if a.head and b.head and a.head[-1] != SPACE and b.head[0] == SPACE else StateMap(joined, 0, "", False)
-        if not a.closed:
-            left = self.compose(a, StateMap(b.head, 0, "", False))
-            return StateMap(left.head, b.inner + (self.count_run(left.tail) if left.closed else 0) + left.inner, b.tail, True)
-        if not b.closed:
-            right = self.compose(StateMap(a.tail, 0, "", False), b)
-            return StateMap(a.head, a.inner + right.inner + (self.count_run(right.head) if right.closed else 0), right.tail if right.closed else right.head, True)
-        return StateMap(a.head, a.inner + self.count_run(a.tail + b.head) + b.inner, b.tail, True)
-
-    def scan(self, maps: list[StateMap]) -> list[StateMap]:
+    @staticmethod
+    def compose(a: StateMap, b: StateMap) -> StateMap:
+        return {s: (b[middle][0], tokens + b[middle][1]) for s, (middle, tokens) in a.items()}
+
+    @classmethod
+    def scan(cls, maps: list[StateMap]) -> list[StateMap]:
         """Inclusive prefixes, by doubling: each round composes independent pairs."""
         out, step = list(maps), 1
         while step < len(out):
-            out = [self.compose(out[i - step], m) if i >= step else m for i, m in enumerate(out)]
+            out = [cls.compose(out[i - step], m) if i >= step else m for i, m in enumerate(out)]
             step *= 2
         return out
 
-    def reduce(self, maps: list[StateMap]) -> StateMap:
-        """The last prefix alone, by a balanced tree."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0]
-
     def count(self, text: str, chunk: int = CHUNK) -> int:
         if not text:
             return 0
-        text = SPACE + text.replace(" ", SPACE)
-        whole = self.reduce([self.map_chunk(text[i : i + chunk]) for i in range(0, len(text), chunk)])
-        return self.count_run(whole.head) + whole.inner + self.count_run(whole.tail)
+        return self.scan(self.map_chunks(SPACE + text.replace(" ", SPACE), chunk))[-1][START][1]
 
 
 _loaded: dict[str, Transducer] = {}
@@ -197,18 +224,18 @@ def load(path: str) -> Transducer:
     return _loaded[path]
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``n_bytes``, ``n_tokens`` and ``over_limit``."""
+def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """Per row: id, ``n_bytes``, ``n_tokens`` and ``over_limit``; texts are counted in chunks of so many characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = load(path)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            tokens = [machine.count(t) for t in texts]
+            tokens = [machine.count(t, chunk) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
                 names=["id", "n_bytes", "n_tokens", "over_limit"],
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), "id long, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)

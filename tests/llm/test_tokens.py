@@ -7,7 +7,7 @@ import pytest
 from tessera.llm.byte_bpe import ByteBpe, encode_documents, roundtrip_digests
 from tessera.llm import word_bpe
 from tessera.llm.packing import fullest, pack, plan
-from tessera.llm.token_counts import Transducer, token_counts
+from tessera.llm.token_counts import START, Transducer, token_counts
 
 P = pytest.importorskip("public_tokenizers")
 ALPHABET = list("abcthe  \n\n\t▁éß🙂ñ.,!'s0123ΣİK") + [" the", "ing", "́", "\x00", "<s>", "  ", "▁▁", "\x1c", " ", "中", "　", "<|endoftext|>", "x" * 300]
@@ -30,14 +30,37 @@ def test_counts_equal_the_library(spark, docs):
     path = P.path("piece_bpe_32k.model")
     library, machine = sentencepiece.SentencePieceProcessor(model_file=path), Transducer.load(path)
     for t in texts(2000, 2):
-        assert {machine.count(t, c) for c in (3, 8, 1000)} == {len(library.encode(t))}
-    maps = [machine.map_chunk(x) for x in ("▁the▁th", "ing▁a", "▁▁b", "", "▁")]
-    assert machine.scan(maps)[-1] == machine.reduce(maps)
-    got = token_counts(docs[0], path).collect()
+        assert {machine.count(t, c) for c in (1, 3, 8, 1000)} == {len(library.encode(t))}
     key = lambda r: (str(r[0]), r[1], r[2])
-    assert sorted([(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got], key=key) == sorted(
-        [(i, len((t or "").encode()), n := len(library.encode(t or "")), n > 4096) for i, t in docs[1]], key=key
-    )
+    want = sorted([(i, len((t or "").encode()), n := len(library.encode(t or "")), n > 4096) for i, t in docs[1]], key=key)
+    for chunk in (1, 3, 1 << 15):
+        got = token_counts(docs[0], path, chunk=chunk).collect()
+        assert sorted([(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got], key=key) == want
+
+
+def test_state_maps_compose_to_prefixes():
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    library, machine = sentencepiece.SentencePieceProcessor(model_file=path), Transducer.load(path)
+    rng = random.Random(8)
+    for text in ["aaaaaaaaabab" * 30, "thething" * 40 + " a  b " + "x" * 50, *filter(None, texts(40, 9))]:
+        t = "▁" + text.replace(" ", "▁")
+        maps = machine.map_chunks(t, 5)
+        done = {START}
+        for k, m in enumerate(maps):
+            assert done <= m.keys()  # every state that leads into a chunk is mapped
+            done = {leave for leave, _ in m.values()}
+        prefixes = machine.scan(maps)
+        want = maps[0]
+        for k, m in enumerate(maps):
+            want = machine.compose(want, m) if k else m
+            assert prefixes[k] == want
+        assert prefixes[-1][START][1] == len(library.encode(text))
+        if len(maps) > 2:
+            a, b, c = maps[(k := rng.randrange(len(maps) - 2)) : k + 3]
+            assert machine.compose(machine.compose(a, b), c) == machine.compose(a, machine.compose(b, c))
+    assert machine.count("ab" * 400_000) == len(library.encode("ab" * 400_000))
 
 
 def test_byte_bpe_equals_the_library(spark, docs):
