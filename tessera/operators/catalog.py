@@ -35,6 +35,28 @@ def level_metrics(files: DataFrame) -> DataFrame:
     return levels.join(found, "level", "left").select("level", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))
 
 
+def total_bytes(levels: DataFrame) -> DataFrame:
+    """(level, files, bytes) -> the bytes of all levels."""
+    return levels.agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("total_bytes"))
+
+
+def named_like(names: DataFrame, term: str, column: str = "name") -> DataFrame:
+    """Rows whose name holds the term, whatever its case."""
+    return names.where(F.lower(column).contains(term.lower()))
+
+
+def last_samples(samples: DataFrame, order: str, n: int = 30) -> DataFrame:
+    """The newest n samples, which is all a chart of the last ones shows; oldest first."""
+    return samples.orderBy(F.desc(order)).limit(n).orderBy(order)
+
+
+def record_count(response: DataFrame, column: str) -> DataFrame:
+    """How many records each JSON response holds: the length of an array, 1 for anything else, 0 for null."""
+    v = F.try_parse_json(column)
+    size = F.size(F.try_variant_get(v, "$", "array<variant>"))
+    return response.withColumn("records", F.when(v.isNull() | F.is_variant_null(v), 0).when(F.schema_of_variant(v).startswith("ARRAY"), size).otherwise(1))
+
+
 def tombstone_counts(rows: DataFrame, keys: list[str], tombstone: Column) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count_if(tombstone).alias("tombstones"), F.count_if(~tombstone).alias("live_values"), F.count("*").alias("entries"))
 

@@ -1,7 +1,7 @@
 """Newest-wins merge of versioned rows, and the edits that are appended to them.
 
-The merge is one aggregate: a map-side combine keeps one version per key and task before the exchange, so a key with
-a third of all versions shuffles one row per task.  Tombstones are dropped after the merge, never before.
+The merge ranks the versions of a key, newest first, and keeps the first.  Spark plans a group limit before the exchange, so
+a key with a third of all versions shuffles one row per task.  Tombstones are dropped after the merge, never before.
 """
 
 from __future__ import annotations
@@ -15,16 +15,9 @@ from pyspark.sql import functions as F
 
 def latest_by_key(df: DataFrame, keys: list[str], seq: list[str], tombstone: Column | None = None) -> DataFrame:
     """The row with the greatest ``seq`` of each key; keys whose newest row is a tombstone are hidden."""
-    rest = [c for c in df.columns if c not in keys]
-    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*seq)).alias("_newest")).select(*keys, *(F.col(f"_newest.`{c}`").alias(c) for c in rest))
-    newest = newest.select(*df.columns)
-    return newest if tombstone is None else newest.where(~F.coalesce(tombstone, F.lit(False)))
-
-
-def latest_by_rank(df: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
-    """The same by rank, for rows without a cheap struct (planned with a group limit before and after the exchange)."""
     by = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in seq))
-    return df.withColumn("_rank", F.row_number().over(by)).where("_rank = 1").drop("_rank")
+    newest = df.withColumn("_rank", F.row_number().over(by)).where("_rank = 1").drop("_rank")
+    return newest if tombstone is None else newest.where(~F.coalesce(tombstone, F.lit(False)))
 
 
 def union_runs(runs: list[DataFrame]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Reads of collections: filtered scans in id order, point reads, key listings."""
+"""Reads of collections: filtered scans, the first documents in id order, point reads, key listings."""
 
 from __future__ import annotations
 
@@ -21,10 +21,18 @@ def find(df: DataFrame, filter_: dict[str, Any] | None, extended: bool = False)
     return df.where(compile_filter(filter_, typed(df.schema), extended))
 
 
+def matches_json(json_col: str, filter_: dict[str, Any] | None, extended: bool = False) -> Column:
+    """Whether a JSON column holds a document that the filter matches; broken JSON never does.
+
+    The document is the variable of a lambda, so that it is parsed once a row however many terms the filter has.
+    """
+    one = lambda v: F.coalesce(v.isNotNull() & compile_filter(filter_, variant(v), extended), F.lit(False))
+    return F.exists(F.array(F.try_parse_json(F.col(json_col))), one)
+
+
 def find_json(df: DataFrame, json_col: str, filter_: dict[str, Any] | None, extended: bool = False) -> DataFrame:
     """Schemaless documents in a JSON column; broken JSON is skipped."""
-    doc = F.try_parse_json(F.col(json_col))
-    return df.withColumn("_doc", doc).where(F.col("_doc").isNotNull() & compile_filter(filter_, variant(F.col("_doc")), extended)).drop("_doc")
+    return df.where(matches_json(json_col, filter_, extended))
 
 
 def capped(df: DataFrame, limit: int = CAP) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,22 +11,12 @@ from ..functions.filters import compile_filter, typed
 from ..operators import catalog, merge, reads
 from ..sources.store import dump_lines, restore_rows
 from ..streaming import fold as streaming
+from . import store_queries
+from .common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _find(name: str, filter_: dict) -> Query:
     return lambda spark, d: reads.find(table(spark, d, name), filter_)
 
@@ -90,7 +78,7 @@ def restore_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return restore_rows(spark, path).select(doc.alias("doc")).select("doc.*")
 
 
-NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "events"]
+NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 
 def collections(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +99,7 @@ def run_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def level_metrics(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "part").where("p_size < 30").select((F.col("p_size") % 2).cast("int").alias("level"), F.col("p_partkey").alias("bytes"))
+    files = table(spark, d, "part").select((F.col("p_size") % 2).cast("int").alias("level"), F.col("p_partkey").alias("bytes"))
     return catalog.level_metrics(files)
 
 
@@ -150,14 +138,14 @@ def stream_fold(spark: SparkSession, d: str) -> DataFrame:
     events.repartitionByRange(4, "event_id").write.parquet(source)
     changes = streaming.read_changes(spark, source, events.schema, files_per_trigger=1)
     streaming.fold(changes, ["user_id"], ["event_id"], f"{at}/state", f"{at}/checkpoint").awaitTermination()
-    return streaming.live(streaming.latest_state(spark, f"{at}/state"), F.col("event_type") == "error").select(*events.columns)
+    return streaming.live(streaming.latest_state(spark, f"{at}/state", ["user_id"], ["event_id"]), F.col("event_type") == "error").select(*events.columns)
 
 
 def queries() -> dict[str, Query]:
     return {
         "find_eq_string": _find("orders", {"o_orderstatus": "F"}),
         "find_eq_number": _find("part", {"p_size": 15}),
-        "find_gt": _find("part", {"p_retailprice": {"$gt": 1500}}),
+        "find_gt": _find("part", {"p_retailprice": {"$gt": 950.5}}),
         "find_lt": _find("part", {"p_retailprice": {"$lt": 1000}}),
         "find_range": _find("lineitem", {"l_quantity": {"$gt": 10, "$lt": 20}}),
         "find_in_and_gt": _find("customer", {"c_mktsegment": {"$in": ["BUILDING", "MACHINERY"]}, "c_acctbal": {"$gt": 0}}),
@@ -194,6 +182,7 @@ def queries() -> dict[str, Query]:
         "rolling_30": rolling_30,
         "compaction_equivalence": compaction_equivalence,
         "stream_fold": stream_fold,
+        **store_queries.queries(),
     }
 
 
@@ -207,7 +196,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "find_eq_string": "SELECT * FROM orders WHERE o_orderstatus = 'F'",
         "find_eq_number": "SELECT * FROM part WHERE p_size = 15",
-        "find_gt": "SELECT * FROM part WHERE p_retailprice > 1500",
+        "find_gt": "SELECT * FROM part WHERE p_retailprice > 950.5",
         "find_lt": "SELECT * FROM part WHERE p_retailprice < 1000",
         "find_range": "SELECT * FROM lineitem WHERE l_quantity > 10 AND l_quantity < 20",
         "find_in_and_gt": "SELECT * FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 0",
@@ -243,11 +232,12 @@ def oracle_sql() -> dict[str, str]:
           b.run AS b_run, b.min_key AS b_min_key, b.max_key AS b_max_key, b.key_count AS b_key_count
           FROM r a JOIN r b ON b.max_key >= a.min_key AND b.min_key <= a.max_key WHERE a.run % 2 = 0 AND b.run % 2 = 1""",
         "level_metrics": """SELECT CAST(l.level AS INTEGER) AS level, count(p.p_partkey) AS files, CAST(coalesce(sum(p.p_partkey), 0) AS BIGINT) AS bytes
-          FROM range(3) l(level) LEFT JOIN (SELECT * FROM part WHERE p_size < 30) p ON p.p_size % 2 = l.level GROUP BY 1""",
+          FROM range(3) l(level) LEFT JOIN part p ON p.p_size % 2 = l.level GROUP BY 1""",
         "tombstone_counts": "SELECT user_id, count(*) FILTER (event_type = 'error') AS tombstones, count(*) FILTER (event_type <> 'error') AS live_values, count(*) AS entries FROM events GROUP BY user_id",
         "expected_keys": f"SELECT CAST(floor(sum(key_count) * 1.1) AS BIGINT) AS expected FROM ({_RUNS})",
         "file_set_difference": "SELECT p_partkey, p_name FROM part p WHERE NOT EXISTS (SELECT 1 FROM part g WHERE g.p_partkey % 3 = 0 AND g.p_partkey = p.p_partkey)",
         "rolling_30": "SELECT event_id, user_id, value, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 6) AS rolling_avg FROM events",
         "compaction_equivalence": _LIVE,
         "stream_fold": _LIVE,
+        **store_queries.oracle_sql(),
     }

@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from .functions.text import complete
 from .operators.catalog import distinct_collections
 from .operators.reads import CAP
-from .sources.store import Rejected, Store, document_id, parse_object
+from .sources.store import Busy, Rejected, Store, document_id
 
 COMMANDS = ["insertOne", "insertMany", "findOne", "findMany", "updateOne", "deleteOne", "dumpAll", "dumpDB", "restoreDB", "compact", "exit", "quit"]
 
@@ -60,7 +60,7 @@ class Shell:
             return f"unknown command: {word}"
         try:
             return action(rest)
-        except (Rejected, json.JSONDecodeError, ValueError) as e:
+        except (Rejected, Busy, json.JSONDecodeError, ValueError) as e:
             return f"error: {e}"
 
     @staticmethod
@@ -113,18 +113,41 @@ class Shell:
         return f"restored {self.store.restore(rest)} documents"
 
     def compact(self, rest: str) -> str:
+        self.store.flush()  # which compacts what is due
         return "compacted" if self.store.compact(force=rest == "force") else "nothing to compact"
 
 
+def bind_completion(shell: Shell) -> None:
+    """The tab key completes, where there is a line editor."""
+    try:
+        import readline
+    except ImportError:
+        return
+
+    def complete_word(word: str, nth: int) -> str | None:
+        found = [w for w in shell.completions(readline.get_line_buffer()) if w.lower().startswith(word.lower())]
+        return found[nth] if nth < len(found) else None
+
+    readline.set_completer(complete_word)
+    readline.set_completer_delims(" ")
+    readline.parse_and_bind("tab: complete")
+
+
 def main(root: str) -> None:
-    shell = Shell(Store(SparkSession.builder.appName("tessera").getOrCreate(), root))
-    for line in iter(lambda: input("> "), None):
-        if (answer := shell.run(line)) is None:
-            return
-        print(answer)
+    shell = Shell(Store(SparkSession.builder.appName("tessera").getOrCreate(), root, background=True))
+    bind_completion(shell)
+    try:
+        while True:
+            try:
+                answer = shell.run(input("> "))
+            except EOFError:
+                return
+            if answer is None:
+                return
+            print(answer)
+    finally:
+        shell.store.close()
 
 
 if __name__ == "__main__":
     main(sys.argv[1])
-
-__all__ = ["Shell", "json_arguments", "parse_object", "pretty"]
