@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -82,7 +84,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     fs, place = _place(spark, path)
     fs.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
@@ -90,6 +92,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of queries that are done: Spark deletes them only when the driver's garbage is collected,
+    which may take long while the executors do all the work.  Twice, as listeners hold a query for a moment."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a written table that nothing reads any more."""
     fs, place = _place(df.sparkSession, df.written_at)

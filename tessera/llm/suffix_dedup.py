@@ -5,19 +5,23 @@ suffixes are sorted together that can be equal:
 
 1. Every ``length``-byte window is owned by its minimizer, the leftmost smallest of its hashed 32-byte grams.
    Equal windows have equal minimizers at equal places.  A run of windows with one owner is an *anchor*; it goes
-   to the task of its gram's hash, as 32 bytes.  An anchor whose gram is found once in the corpus is dropped.
-2. Inside a gram's task the anchors arrive sorted, as a stream.  Anchors whose whole context (all bytes of all
-   their windows) was seen earlier are duplicates.  The first of each different context stays in question.
-3. Contexts in question are read again from the documents and grouped by gram.  Their bytes, cut into blocks
-   aligned at the anchor, form one integer string, whose suffix array the linear grouping construction builds
-   (``suffixes.py``).  Runs of the array with a common prefix of ``length`` bytes, with equal bytes before the
-   first block, are equal windows; all but the first of a run are duplicates.
-4. Duplicate windows are gathered by document, which turns them into spans.
-
-A gram that holds a large share of all anchors (``heavy.py``: a list of bounded size) would fill one task.  Its anchors
-are dealt by context and a salt of the document instead, so that copies are settled in many tasks; each of its
-contexts in question is then cut into single windows, which are settled by their hash, again first under a salt.
-Any other gram with more contexts in question than a suffix array should hold goes on as single windows too.
+   to the task of its gram's hash, as 24 bytes.  An anchor whose gram is found once in the corpus is dropped.
+2. The *contexts* of the other anchors (all bytes of all their windows) are read from the documents and brought
+   together by gram, in byte order.  Equal contexts are neighbours there; the first of them stays, of the others
+   all windows are repeated.
+3. The different contexts of a gram are sorted by their suffixes: their bytes, cut into blocks aligned at the anchor,
+   form one integer string, whose suffix array the linear grouping construction builds (``suffixes.py``).  Runs of the
+   array with a common prefix of ``length`` bytes, with equal bytes before the first block, are equal windows; all but
+   the first of a run are repeated.
+4. Repeated windows are gathered by document, which turns them into spans.
+
+No removal rests on a hash: hashes only choose what meets, and what meets is compared byte by byte.
+
+Large groups.  A gram with more different contexts than ``ARRAY`` is sorted in parts of so many, and the parts are
+merged: the windows that a part doesn't find repeated leave it with their bytes, and a sort by these brings equal ones
+of different parts together.  The contexts of a gram that holds a large share of all anchors (``heavy.py``: a list of
+bounded size) are first dealt by their bytes and a salt of the document, where copies are settled, and those that stay
+by their bytes alone, in parts as above.  So no task holds more than some thousands of contexts.
 
 Defined results: null text is empty; null ids sort first; a text under ``length`` bytes keeps everything; rows
 that repeat an id *and* its text are one document and get the same result; rows that repeat an id with other
@@ -33,20 +37,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_column, lean, null_again, written
+from .common import discard, freed, id_column, lean, null_again, written
 from .heavy import heavy_keys
 from .suffixes import suffix_array
 
 GRAM, BLOCK, SEGMENT = 32, 14, 1 << 18
-#: Contexts of different grams that are sorted together at least.
-CONTEXTS = 2000
-#: Contexts that one gram may bring into a suffix array, whose lists take about a kilobyte a symbol.
-ARRAY = 4000
+#: Contexts of different grams that are sorted together at least, and contexts of one gram in a part.
+CONTEXTS, ARRAY = 1500, 2500
 #: Anchors that a gram must have to be dealt by context.
 WIDE = 20_000
+#: Rows of a batch of contexts or windows.
+ROWS = 20_000
 SALTS = 64
 TIE = (1 << 18) - 1
 U = np.uint64
@@ -80,7 +84,7 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """Gram hash, context hash, first owned window, number of owned windows, place of the gram in the context."""
+    """Gram hash, first owned window, number of owned windows, place of the gram in the context."""
     found = []
     low = U(0xFFFFF)
     for at in range(0, max(1, len(data) - length + 1), SEGMENT - length + 1):
@@ -94,11 +98,9 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, ...]:
         first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
         count = np.diff(np.r_[first, len(least)])
         place = (least[first] & low).astype(np.int64)
-        end = first + count - 1 + length
-        context = _mix((total[end] - total[first]) * _INVERSE[first]) + _mix((count * 1024 + place - first).astype(U))
-        found.append((gram[place].view(np.int64), context.view(np.int64), first + at, count, place - first))
+        found.append((gram[place].view(np.int64), first + at, count, place - first))
     if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -132,115 +134,62 @@ def _find_anchors(length: int):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if text is None or len(data := text.encode()) < length:
                     continue
-                gram, context, start, count, place = anchors(data, length)
-                out.append((gram, context, np.full(len(gram), doc, np.int64), _pack(start, count, place, zlib.crc32(data) & TIE)))
+                gram, start, count, place = anchors(data, length)
+                out.append((gram, np.full(len(gram), doc, np.int64), _pack(start, count, place, zlib.crc32(data) & TIE)))
             if out:
-                yield _batch(["gram", "context", "doc", "place"], *(np.concatenate(x) for x in zip(*out)))
+                yield _batch(["gram", "doc", "place"], *(np.concatenate(x) for x in zip(*out)))
 
     return run
 
 
-def _salted(key: str) -> Column:
-    return F.xxhash64(key, F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
+def _repeated_grams(hot: np.ndarray):
+    """Stream of anchors sorted by gram, doc, place -> those whose gram is met twice; repeated rows leave.
 
-
-def _sift(hot: np.ndarray):
-    """Stream of anchors sorted by gram, context, doc, place: duplicates (sure) and contexts in question.
-
-    Of a hot gram a task sees a part only, so that each of its contexts stays in question.
+    Of a hot gram a task sees a part only, so that all of its anchors stay.
     """
-    return lambda batches: _sifted(batches, hot)
-
-
-def _sifted(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    before = None  # the last anchor
-    opened = None  # the first anchor of its gram, while it isn't known to have another context
-    for b in batches:
-        gram, context, doc, place = (b.column(i).to_numpy() for i in range(4))
-        if not len(gram):
-            continue
-        last = before or (~gram[0], 0, 0, 0)
-        shift = [np.r_[np.int64(v), x[:-1]] for v, x in zip(last, (gram, context, doc, place))]
-        new_gram = gram != shift[0]
-        new = new_gram | (context != shift[1])
-        same = ~new & (doc == shift[2]) & (place == shift[3])  # a repeated row
-        more = new & ~new_gram  # another context of a gram
-        group = np.cumsum(new_gram)  # 0: goes on from the last batch
-        several = np.zeros(group[-1] + 1, bool)
-        several[group[more]] = True
-        if len(hot):
-            several[group[np.isin(gram, hot)]] = True
-        asked = more | (new_gram & several[group])
-        sure = ~new & ~same
-        out = [(gram[k], doc[k], place[k], np.full(int(k.sum()), w)) for k, w in ((sure, True), (asked, False))]
-        if several[0] and opened:
-            out.append(tuple(np.array([v]) for v in (*opened, False)))
-        starts = np.flatnonzero(new_gram)
-        if len(starts):
-            i = starts[-1]
-            opened = None if several[group[-1]] else (gram[i], doc[i], place[i])
-        elif several[0]:
-            opened = None
-        before = (gram[-1], context[-1], doc[-1], place[-1])
-        yield _batch(["gram", "doc", "place", "sure"], *(np.concatenate(x) for x in zip(*out)))
 
-
-def _read_contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, met = tuple(np.zeros(0, np.int64) for _ in range(3)), False  # the last anchor; whether its gram was met before it
         for b in batches:
-            grams, docs, places, bytes_ = [], [], [], []
-            for doc, text, wanted in zip(*(b.column(i).to_pylist() for i in range(3))):
-                data = text.encode()
-                for w in wanted:
-                    start, count, _, _ = _unpack(w["place"])
-                    grams.append(w["gram"])
-                    docs.append(doc)
-                    places.append(w["place"])
-                    bytes_.append(data[start : start + count - 1 + length])
-            yield _batch(["gram", "doc", "place", "bytes"], pa.array(grams, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(bytes_, pa.binary()))
+            if not b.num_rows:
+                continue
+            rows = [np.r_[x, b.column(i).to_numpy()] for i, x in enumerate(held)]
+            new = np.ones(len(rows[0]), bool)
+            new[1:] = np.any([x[1:] != x[:-1] for x in rows], 0)
+            gram, doc, place = (x[new] for x in rows)
+            even = gram[1:] == gram[:-1]
+            keep = np.r_[met, even] | np.r_[even, False] | np.isin(gram, hot)
+            met, held = bool(len(gram) > 1 and even[-1]) or (len(gram) == 1 and met), (gram[-1:], doc[-1:], place[-1:])
+            keep[-1] = False
+            if keep.any():
+                yield _batch(["doc", "place"], doc[keep], place[keep])
+        if len(held[0]) and (met or held[0][0] in hot):
+            yield _batch(["doc", "place"], *held[1:])
 
     return run
 
 
-def _single(context: bytes, place: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place of each window of a context."""
-    start, count, _, tie = _unpack(place)
-    x = np.frombuffer(context, np.uint8).astype(U)
-    total = np.zeros(len(x) + 1, U)
-    np.cumsum((x + U(1)) * _POWER[: len(x)], out=total[1:])
-    return _mix((total[length:] - total[:-length]) * _INVERSE[:count]).view(np.int64), _pack(start + np.arange(count), 1, 0, tie)
-
-
-def _read_windows(length: int):
-    """The single windows of the contexts; ``gram`` is a window's hash."""
+def _read_contexts(length: int):
+    """(doc, text, places) -> gram and bytes of each anchor's context, in batches of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, text, wanted in zip(*(b.column(i).to_pylist() for i in range(3))):
-                data, out = text.encode(), []
-                for w in wanted:
-                    start, count, _, _ = _unpack(w["place"])
-                    out.append(_single(data[start : start + count - 1 + length], w["place"], length))
-                gram, place = (np.concatenate(x) for x in zip(*out))
-                yield _batch(["gram", "doc", "place"], gram, np.full(len(gram), doc, np.int64), place)
+            places = b.column(2).flatten().to_numpy()
+            texts = [t.encode() for t in b.column(1).to_pylist()]
+            size, each = np.array([len(t) for t in texts], np.int64), np.asarray(pc.list_value_length(b.column(2)))
+            data, base = b"".join(texts), np.repeat(np.cumsum(size) - size, each)
+            doc, byte = np.repeat(b.column(0).to_numpy(), each), np.frombuffer(data, np.uint8)
+            for k in range(0, len(places), ROWS):
+                place = places[k : k + ROWS]
+                start, count, gram_at, _ = _unpack(place)
+                first = base[k : k + ROWS] + start
+                gram = _mix(((byte[(first + gram_at)[:, None] + np.arange(GRAM)].astype(U) + U(1)) * _POWER[:GRAM]).sum(1, dtype=U)).view(np.int64)
+                found = [data[x:y] for x, y in zip(first.tolist(), (first + count - 1 + length).tolist())]
+                yield _batch(["gram", "doc", "place", "bytes"], gram, doc[k : k + ROWS], place, pa.array(found, pa.binary()))
 
     return run
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stream of windows sorted by gram, doc, place: which ones equal an earlier one; repeated rows leave."""
-    last = None
-    for b in batches:
-        columns = [b.column(i).to_numpy() for i in range(3)]
-        if not b.num_rows:
-            continue
-        last = last or (~columns[0][0], 0, 0)
-        again, doc, place = (x == np.r_[np.int64(v), x[:-1]] for v, x in zip(last, columns))
-        k = ~(again & doc & place)
-        last = tuple(x[-1] for x in columns)
-        yield _batch(["gram", "doc", "place", "again"], *(x[k] for x in columns), again[k])
-
-
 def _digits(text: np.ndarray, at: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A block's bytes as two numbers in base 257; 0 stands for what lies behind the end."""
     halves = []
@@ -310,47 +259,103 @@ def repeated_windows(contexts: list[bytes], doc: np.ndarray, place: np.ndarray,
     return x[heads] >> 32, x[heads] & 0xFFFFFFFF, np.diff(np.r_[heads, len(x)])
 
 
-def _sort_suffixes(length: int, most: int):
-    """Repeated windows of contexts sorted by gram.  A gram with more contexts than ``most`` leaves as single windows
-    (``gram`` is then a window's hash, else null), so that no suffix array and no task grows with a gram."""
-    names = ["doc", "place", "gram"]
+#: What a settled row is: repeated windows; a context of a hot gram that is left (with its gram); a window of a part that is left.
+REPEATED, LEFT, WINDOW = 0, 1, 2
+SETTLED = "kind int, gram long, doc long, place long, bytes binary"
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
+
+def left_windows(rows: list[tuple], found: tuple[np.ndarray, ...], length: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Context, first byte and bytes of each window that isn't among the found runs."""
+    own, first, n = found
+    start, count, _, tie = _unpack(np.array([r[2] for r in rows], np.int64))
+    base = np.cumsum(count) - count
+    step = np.zeros(int(count.sum()) + 1, np.int64)
+    np.add.at(step, base[own] + first, 1)
+    np.add.at(step, base[own] + first + n, -1)
+    which = np.repeat(np.arange(len(rows)), count)
+    stay = np.flatnonzero(np.cumsum(step[:-1]) == 0)
+    which, at = which[stay], stay - base[which[stay]]
+    return which, _pack(start[which] + at, 1, 0, tie[which]), [rows[i][3][k : k + length] for i, k in zip(which.tolist(), at.tolist())]
+
+
+def _settle(length: int, most: int, hot: np.ndarray, parts: bool):
+    """Contexts sorted by gram, bytes, doc, place -> settled rows.
+
+    With ``parts`` a task has a part only of every gram; without, the contexts of a hot gram that are left leave as they are.
+    """
+    names = ["kind", "gram", "doc", "place", "bytes"]
+
+    def solve(rows: list[tuple], merge: bool) -> Iterator[pa.RecordBatch]:
         doc, place = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
-        own, first, n = repeated_windows([r[3] for r in rows], doc, place, length)
+        found = repeated_windows([r[3] for r in rows], doc, place, length) if len(rows) > 1 else (np.zeros(0, np.int64),) * 3
+        own, first, n = found
         start, _, _, tie = _unpack(place)
-        return _batch(names, doc[own], _pack(start[own] + first, n, 0, tie[own]), pa.nulls(len(own), pa.int64()))
-
-    def apart(rows: list[tuple]) -> pa.RecordBatch:
-        found = [_single(r[3], r[2], length) for r in rows]
-        key, place = (np.concatenate(x) for x in zip(*found))
-        return _batch(names, np.repeat(np.array([r[1] for r in rows], np.int64), [len(k) for k, _ in found]), place, key)
+        yield _batch(names, np.full(len(own), REPEATED, np.int32), np.zeros(len(own), np.int64), doc[own], _pack(start[own] + first, n, 0, tie[own]), pa.nulls(len(own), pa.binary()))
+        if merge:
+            which, at, windows = left_windows(rows, found, length)
+            for k in range(0, len(at), ROWS):
+                part = doc[which[k : k + ROWS]]
+                yield _batch(names, np.full(len(part), WINDOW, np.int32), np.zeros(len(part), np.int64), part, at[k : k + ROWS], pa.array(windows[k : k + ROWS], pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_hot = set(hot.tolist())
         held: list[tuple] = []
-        gram, own, wide = None, 0, False  # the gram that arrives, its first row in ``held``, whether it is too large
+        gram, own, wide = None, 0, parts  # the gram that arrives, its first row in ``held``, whether it is sorted in parts
+        last: tuple = (None, None, None, None)
         for b in batches:
+            kinds, rows = [], []
             for row in zip(*(b.column(i).to_pylist() for i in range(4))):
                 if row[0] != gram:
-                    if wide and held:
-                        yield apart(held)
-                        held = []
+                    if wide and len(held) > own:
+                        yield from solve(held[own:], True)
+                        del held[own:]
+                    elif len(held) == own + 1:
+                        held.pop()  # windows of one context differ
                     if len(held) >= CONTEXTS:
-                        yield solve(held)
+                        yield from solve(held, False)
                         held = []
-                    gram, own, wide = row[0], len(held), False
+                    gram, own, wide = row[0], len(held), parts
+                elif row[3] == last[3]:
+                    if row[1:3] != last[1:3]:
+                        kinds.append(REPEATED)
+                        rows.append((0, row[1], row[2], None))
+                    last = row
+                    continue
+                last = row
+                if gram in is_hot and not parts:
+                    kinds.append(LEFT)
+                    rows.append(row)
+                    continue
                 held.append(row)
-                if len(held) - own > most:
-                    if own:
-                        yield solve(held[:own])
-                    yield apart(held[own:])
-                    held, own, wide = [], 0, True
+                if len(held) - own >= most:
+                    wide = True
+                    yield from solve(held[own:], True)
+                    del held[own:]
+            if rows:
+                kind = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield _batch(names, pa.array(kinds, pa.int32()), *(pa.array(c, k) for c, k in zip(zip(*rows), kind)))
+        if wide and len(held) > own:
+            yield from solve(held[own:], True)
+            del held[own:]
         if held:
-            yield (apart if wide else solve)(held)
+            yield from solve(held, False)
 
     return run
 
 
+def _equal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stream of windows sorted by bytes, doc, place -> those that equal an earlier one; repeated rows leave."""
+    last: tuple = (None, None, None)
+    for b in batches:
+        out = []
+        for row in zip(*(b.column(i).to_pylist() for i in range(3))):
+            if row[0] == last[0] and row != last:
+                out.append(row[1:])
+            last = row
+        if out:
+            yield _batch(["doc", "place"], *(pa.array(c, pa.int64()) for c in zip(*out)))
+
+
 def _cut(length: int, whole_chars: bool, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -391,31 +396,32 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = docs.select(id_column(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), *([others.alias("row")] if keep else []))
     docs = whole.select("doc", "text")
     hot = heavy_keys(docs.select("text").mapInArrow(lean(_grams(length)), "gram long"), WIDE)
-    is_hot = F.col("gram").isin(hot.tolist()) if len(hot) else F.lit(False)
-    places = docs.mapInArrow(lean(_find_anchors(length)), "gram long, context long, doc long, place long")
-    dealt = places.repartition(F.when(is_hot, _salted("context")).otherwise(F.col("gram")) if len(hot) else "gram")
-    sifted = written(dealt.sortWithinPartitions("gram", "context", "doc", "place").mapInArrow(lean(_sift(hot), None), "gram long, doc long, place long, sure boolean"), "anchors")
+    is_hot = F.col("gram").isin(hot.tolist())
+    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS))
+    by_gram = lambda other: [F.when(is_hot, other).otherwise(F.col("gram"))] if len(hot) else ["gram"]
+    places = docs.mapInArrow(lean(_find_anchors(length)), "gram long, doc long, place long")
+    places = places.repartition(*by_gram(F.xxhash64("gram", "doc", "place"))).sortWithinPartitions("gram", "doc", "place")
+    repeated = places.mapInArrow(lean(_repeated_grams(hot), None), "doc long, place long")
     tie = F.col("place").bitwiseAND(TIE)
+    wanted = repeated.groupBy("doc", tie.alias("tie")).agg(F.collect_list("place").alias("wanted"))
     with_tie = whole.withColumn("tie", F.crc32(F.coalesce("text", F.lit(""))).bitwiseAND(TIE))
-
-    def questions(which: Column) -> DataFrame:
-        wanted = sifted.where(~F.col("sure") & which).groupBy("doc", tie.alias("tie")).agg(F.collect_list(F.struct("gram", "place")).alias("wanted"))
-        return with_tie.join(wanted, ["doc", "tie"]).select("doc", "text", "wanted")
-
-    contexts = questions(~is_hot).mapInArrow(lean(_read_contexts(length)), "gram long, doc long, place long, bytes binary")
-    solved = contexts.repartition("gram").sortWithinPartitions("gram", "doc", "place").mapInArrow(lean(_sort_suffixes(length, ARRAY), None), "doc long, place long, gram long")
-    solved = written(solved, "solved")
-    left = solved.where("gram is not null").select("gram", "doc", "place")
-    left = None if left.isEmpty() else left
+    contexts = with_tie.select("doc", "tie", "text").join(wanted, ["doc", "tie"]).select("doc", "text", "wanted")
+    # written as they stand in the documents, where neighbours overlap and compress well; the shuffles before can go then
+    contexts = written(contexts.mapInArrow(lean(_read_contexts(length), 64), "gram long, doc long, place long, bytes binary"), "contexts")
+    freed(docs.sparkSession)
+    in_order = lambda df, *by: df.repartition(*by).sortWithinPartitions("gram", "bytes", "doc", "place")
+    settled = written(in_order(contexts, *by_gram(F.xxhash64("gram", "bytes", salt))).mapInArrow(lean(_settle(length, ARRAY, hot, False), None), SETTLED), "settled")
+    discard(contexts)
+    freed(docs.sparkSession)
     if len(hot):
-        windows = questions(is_hot).mapInArrow(lean(_read_windows(length)), "gram long, doc long, place long")
-        left = left.unionByName(windows) if left else windows
-    sure = sifted.where("sure").select("doc", "place").unionByName(solved.where("gram is null").select("doc", "place"))
-    if left:
-        kind, order = "gram long, doc long, place long, again boolean", ("gram", "doc", "place")
-        some = written(left.repartition(_salted("gram")).sortWithinPartitions(*order).mapInArrow(lean(_repeats, None), kind), "windows")
-        rest = some.where("not again").drop("again").repartition("gram").sortWithinPartitions(*order).mapInArrow(lean(_repeats, None), kind)
-        sure = sure.unionByName(some.unionByName(rest).where("again").select("doc", "place"))
+        left = settled.where(F.col("kind") == LEFT).select("gram", "doc", "place", "bytes")
+        parts = in_order(left, F.xxhash64("gram", "bytes")).mapInArrow(lean(_settle(length, ARRAY, hot, True), None), SETTLED)
+        settled = settled.where(F.col("kind") != LEFT).unionByName(written(parts, "parts"))
+    sure = settled.where(F.col("kind") == REPEATED).select("doc", "place")
+    windows = settled.where(F.col("kind") == WINDOW).select("bytes", "doc", "place")
+    if not windows.isEmpty():
+        windows = windows.repartition(F.xxhash64("bytes")).sortWithinPartitions("bytes", "doc", "place")
+        sure = sure.unionByName(windows.mapInArrow(lean(_equal_windows, None), "doc long, place long"))
     sure = sure.select(
         "doc", tie.alias("tie"), F.shiftrightunsigned("place", 32).alias("start"), F.shiftrightunsigned("place", 25).bitwiseAND(127).alias("windows")
     )

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm import suffix_dedup as module
 from tessera.llm.suffix_dedup import TIE, suffix_dedup
@@ -60,9 +61,7 @@ def test_against_brute_force(spark):
     check(spark, rows)
 
 
-def test_hot_grams_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(module, "WIDE", 5)  # small enough for a fixture: hot grams go by context and by window
-    monkeypatch.setattr(module, "ARRAY", 5)
+def crowded():
     rng = random.Random(4)
     phrase = "a phrase of over forty bytes that is found everywhere, "
     passage = "and a long passage, " + phrase * 2 + "".join(rng.choice("abcdef ") for _ in range(200))
@@ -70,8 +69,14 @@ def test_hot_grams_against_brute_force(spark, monkeypatch):
     for i in range(200):
         noise = lambda: "".join(rng.choice("xyzé ") for _ in range(rng.randint(0, 90)))
         rows.append((i, noise() + rng.choice([phrase, passage, phrase + noise() + passage]) + noise(), None))
-    rows += [(300, rows[5][1], "x"), (300, rows[6][1], "x"), (300, rows[6][1], "x"), (None, passage, None), (301, "a" * 700, "x"), (302, None, None)]
-    found = []
+    return rows + [(300, rows[5][1], "x"), (300, rows[6][1], "x"), (300, rows[6][1], "x"), (None, passage, None), (301, "a" * 700, "x"), (302, None, None)]
+
+
+def test_hot_grams_and_parts_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(module, "WIDE", 5)  # small enough for a fixture: hot grams are dealt, large ones sorted in parts
+    monkeypatch.setattr(module, "ARRAY", 5)
+    monkeypatch.setattr(module, "ROWS", 7)
+    rows, found = crowded(), []
     monkeypatch.setattr(module, "heavy_keys", lambda *a: found.append(heavy_keys(*a)) or found[-1])
     check(spark, rows)
     assert len(found[0]) > 3
@@ -79,6 +84,36 @@ def test_hot_grams_against_brute_force(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_equal_hashes_remove_nothing(monkeypatch):
+    """Every gram has the same hash, so all contexts meet: only bytes tell windows apart."""
+    monkeypatch.setattr(module, "_mix", lambda x: x & np.uint64(0xFFFFF))
+    monkeypatch.setattr(module, "_POWER", np.zeros_like(module._POWER))
+    rows = [(d, t) for d, t, _ in crowded()[:60]] + [(400, "one " + "x" * 120), (401, "two " + "y" * 120)]
+    contexts, gone = [], {d: bytearray(len(t.encode())) for d, t in rows}
+    for d, t in rows:
+        gram, start, count, at = module.anchors(t.encode(), 100)
+        assert not gram.any()
+        contexts += [(0, d, int(module._pack(s, c, p, 0)), t.encode()[s : s + c + 99]) for s, c, p in zip(start, count, at)]
+    contexts.sort(key=lambda r: (r[3], r[1], r[2]))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*contexts[i : i + 30]), kinds)], names=["gram", "doc", "place", "bytes"]) for i in range(0, len(contexts), 30)]
+    for out in module._settle(100, 10**6, np.zeros(0, np.int64), False)(iter(batches)):
+        for _, _, d, p, _ in zip(*(c.to_pylist() for c in out.columns)):
+            s, n, _, _ = module._unpack(p)
+            gone[d][s : s + n + 99] = b"\1" * (n + 99)
+    want = brute(rows)
+    assert [bytes(b for b, g in zip(t.encode(), gone[d]) if not g) for d, t in rows] == [want[r] for r in rows]
+
+
+def test_very_long_text(spark):
+    rng = random.Random(11)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(700_000))
+    rows = [(1, long), (2, "x" + long[:300_000] + "y"), (3, "z" * 300_000)]
+    got = {r.doc_id: r for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert bytes(got[1].kept) == long.encode() and bytes(got[2].kept) == b"xy"
+    assert bytes(got[3].kept) == b"z" and got[3].spans[0].start == 1 and len(got[3].spans) == 1
+
+
 def test_heavy_keys_are_found_in_bounded_summaries(spark):
     rng = random.Random(6)
     keys = [rng.randrange(10**9) for _ in range(6000)] + [-5] * 900 + [7] * 400 + [8] * 3
