@@ -43,6 +43,8 @@ from .memo import Memo
 SAMPLE = 3000
 #: Standard deviations of a term's bounds, and how far apart they must be.
 SIGMAS, LIFT = 3.0, 4.0
+#: Words whose weights are remembered in each of two generations.
+WORDS = 100_000
 #: Letters that terms of one family have in common.
 FAMILY = 4
 FOLDS = 5
@@ -210,10 +212,18 @@ class Model:
         restorer, weights = Restorer(self.counts), self.weights
         words = {t: p for t, p in weights.items() if "*" not in t}
         stems = {t.partition("*")[0] for t in weights if "*" in t}
-        lengths = sorted({len(t) for t in stems})
+        lengths, families = sorted({len(t) for t in stems}), {t[:FAMILY] for t in stems}
         squeezed = {squeeze(w): w for w in sorted(words, key=words.get)}
         longest = max(map(len, squeezed), default=0)
 
+        def known(word: str) -> str | None:
+            """The word that has a weight and that this one is, or is with letters doubled."""
+            if word in words:
+                return word
+            return squeezed.get(squeeze(word)) if decode and _DOUBLE.search(word) else None
+
+        same = Memo(known, WORDS)
+
         def inside(joined: str) -> Iterator[str]:
             """Known words in letters that were pulled apart: where words begin isn't known."""
             joined = squeeze(joined)
@@ -227,21 +237,20 @@ class Model:
                 return self.prior
             text, apart = restorer.restored(text) if decode else (text.lower(), [])
             found = _WORD.findall(text)
+            hits = set(map(same.__getitem__, found))
+            hits.discard(None)
+            for joined in apart:
+                hits.update(inside(joined))
             best: dict[str, float] = {}
-            for w in set(found).difference(words):
-                if _DOUBLE.search(w) and decode and (known := squeezed.get(squeeze(w))):
-                    best[known[:FAMILY]] = max(best.get(known[:FAMILY], 0.0), words[known])
-            for w in words.keys() & set(found):
+            for w in hits:
                 best[w[:FAMILY]] = max(best.get(w[:FAMILY], 0.0), words[w])
-            for joined in apart:
-                for w in inside(joined):
-                    best[w[:FAMILY]] = max(best.get(w[:FAMILY], 0.0), words[w])
-            for k in lengths:
-                times = Counter(w[:k] for w in found)
-                for stem in stems & times.keys():
-                    for least in LEAST:
-                        if times[stem] >= least and (p := weights.get(f"{stem}*{least}")):
-                            best[stem[:FAMILY]] = max(best.get(stem[:FAMILY], 0.0), p)
+            if families and (near := [w for w in found if w[:FAMILY] in families]):
+                for k in lengths:
+                    times = Counter(w[:k] for w in near)
+                    for stem in stems & times.keys():
+                        for least in LEAST:
+                            if times[stem] >= least and (p := weights.get(f"{stem}*{least}")):
+                                best[stem[:FAMILY]] = max(best.get(stem[:FAMILY], 0.0), p)
             return 1 - (1 - self.prior) * math.prod(1 - best[f] for f in sorted(best))
 
         return score
