@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .common import table
 from .byte_bpe import roundtrip_digests
 from .html_text import extract_text
@@ -74,6 +75,44 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def law_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each query of op1: how many it found, whether ranks follow scores and ids, and whether scores are those of the vectors."""
+    found, vectors = op1_nearest(spark, sf_dir), table(spark, sf_dir, "embeddings")
+    v = lambda name: vectors.select(F.col("vec_id").alias(f"{name}_id"), F.col("embedding").cast("array<double>").alias(name))
+    both = found.withColumnRenamed("vec_id", "v_id").join(v("query"), "query_id").join(v("v"), "v_id")
+    exact = F.aggregate(F.zip_with("query", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    both = both.withColumn("exact", F.abs(exact - F.col("score")) < 1e-9)
+    ranks = F.array_sort(F.collect_list(F.struct("rank", (-F.col("score")).alias("less"), "v_id")))
+    ordered = F.transform(ranks, lambda r: F.struct(r["less"], r["v_id"]))
+    per = both.groupBy("query_id").agg(F.count("*").alias("n"), F.bool_and("exact").alias("exact"), (ordered == F.array_sort(ordered)).alias("ordered"))
+    return per.select("query_id", "n", "exact", "ordered")
+
+
+def law_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op3: whether sequences are gapless and fit, whether documents are whole, and the number of documents."""
+    pieces = op3_packing(spark, sf_dir)
+    lines = lambda key, order: F.array_sort(F.collect_list(F.struct(order, "length"))).alias("own")
+    gapless = lambda field: F.aggregate("own", F.lit(0).cast("long"), lambda at, x: F.when(x[field] == at, at + x["length"]).otherwise(F.lit(-(2**40))))
+    sequences = pieces.groupBy("sequence_id").agg(lines("sequence_id", "offset")).agg(F.bool_and(gapless("offset").between(1, 2048)).alias("fits"))
+    documents = pieces.groupBy("doc_id").agg(lines("doc_id", "start")).agg(F.bool_and(gapless("start") > 0).alias("whole"), F.count("*").alias("documents"))
+    return sequences.join(documents)
+
+
+def law_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_token_counts(spark, sf_dir).select("doc_id", "n_bytes", (F.col("over_limit") == (F.col("n_tokens") > 4096)).alias("limit_holds"))
+
+
+def law_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether decoding op10's ids gives the texts back."""
+    return op10_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def law_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold of op6, and whether its predictions follow its scores."""
+    out = op6_toxicity(spark, sf_dir)
+    return out.select("doc_id", "held_out", (F.col("score").between(0, 1) & (F.col("predicted") == (F.col("score") >= 0.5).cast("int"))).alias("sound"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nearest": op1_nearest,
@@ -86,8 +125,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_dedup": op8_simhash_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_byte_bpe": op10_byte_bpe,
+        "law_nearest": law_nearest,
+        "law_packing": law_packing,
+        "law_token_counts": law_token_counts,
+        "law_byte_bpe": law_byte_bpe,
+        "law_toxicity": law_toxicity,
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+oracle_sql = oracles.oracle_sql
