@@ -386,14 +386,15 @@ def _cut(length: int, whole_chars: bool, keep: list[str]):
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, whole_chars: bool = False, keep: bool = False) -> DataFrame:
     """Per row of ``docs``: id, ``n_bytes``, removed ``spans`` (start, end in bytes) and the ``kept`` bytes.
 
-    With ``keep`` a column ``row`` holds the other columns of ``docs``.
+    With ``keep`` a column ``row`` holds the other columns of ``docs`` as its field ``own``, whatever their names.
 
     ``whole_chars`` leaves characters whole of which only some bytes would go.
     """
     if not 2 * GRAM <= length <= 127:
         raise ValueError("length must be 64 to 127 bytes")
-    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)), F.lit(None).cast("int").alias("_"))
-    whole = docs.select(id_column(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), *([others.alias("row")] if keep else []))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    others = F.struct((F.struct(*others) if others else F.lit(None).cast("int")).alias("own"))
+    whole = docs.select(id_column(id_col).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"), *([others.alias("row")] if keep else []))
     docs = whole.select("doc", "text")
     hot = heavy_keys(docs.select("text").mapInArrow(lean(_grams(length)), "gram long"), WIDE)
     is_hot = F.col("gram").isin(hot.tolist())
@@ -435,8 +436,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", length: int = 100) -> DataFrame:
-    """``docs`` with the repeated bytes cut out of their texts (whole characters only) and ``count_col`` counted anew."""
+    """``docs`` with the repeated bytes cut out of their texts (whole characters only) and ``count_col`` counted anew.
+
+    Defined results: null texts become empty, and so do those that are repeated as a whole; no row goes; null ids sort first;
+    repeated rows stay and are cut alike; an empty table stays empty; all columns are kept, whatever their names.
+    """
     found = suffix_dedup(docs, id_col, text_col, length, whole_chars=True, keep=True)
     text = F.col("kept").cast("string")
     new = {id_col: F.col(f"`{id_col}`"), text_col: text, count_col: F.char_length(text).cast("long")}
-    return found.select(*(new.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+    return found.select(*(new.get(c, F.col(f"row.own.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))

@@ -20,7 +20,7 @@ no inputs of a score.
 
 Defined results: null and empty texts score the rate without any word; a null id isn't held out, and its labels don't
 count, nor do null labels; of repeated labels of one id the worst counts; repeated rows score alike; with no usable
-labels of either class every score is the prior; an empty table gives an empty result; extra columns are ignored.
+labels of either class every score is the prior, a quarter without any label; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -264,7 +264,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)
     known = labels.where(usable).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     seen = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-    prior = (seen.get(1, 0) + 0.5) / (sum(seen.values()) + 1)
+    prior = (seen.get(1, 0) + 0.5) / (sum(seen.values()) + 2)  # a quarter where nothing is known, so that nothing is rejected
     if not seen.get(1) or not seen.get(0):
         return Model(counts, {}, prior)
     chosen = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("id"), "id").limit(sample) for t in (0, 1)]

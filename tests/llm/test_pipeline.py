@@ -6,7 +6,9 @@ import corpus_pipeline
 from tessera.llm import simhash
 from tessera.llm.common import DOC_COLUMNS
 from tessera.llm.simhash import near_duplicate_filter, similarity_components
+from tessera.llm.quality import quality_filter
 from tessera.llm.suffix_dedup import without_repeats
+from tessera.llm.toxicity import toxicity_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -48,6 +50,20 @@ def test_cut_texts(spark):
     assert got[3].text == "" and got[None].text == "x"
 
 
+def test_columns_of_any_name(spark):
+    names = "doc_id long, text string, lang string, n_chars long, `_` int, own string, row int, tie long, id_ int, tie_ int, gone int, stratum string, text_ string, n_words long"
+    rows = [(1, "a b c d e f g h i j k l m n", "en", 1, 1, "x", 2, 3, 4, 5, 6, "s", "t", 7), (None, None, None, None, None, None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, names)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert [tuple(r) for r in without_repeats(docs).orderBy("doc_id").collect()] == [(None, "", None, 0, *[None] * 10), (1, rows[0][1], "en", 27, *rows[0][4:])]
+    assert [tuple(r) for r in quality_filter(docs, labels).collect()] == rows[:1]
+    assert sorted(map(str, map(tuple, toxicity_filter(docs, labels).collect()))) == sorted(map(str, rows))
+    assert sorted(map(str, map(tuple, near_duplicate_filter(docs).collect()))) == sorted(map(str, rows))
+    for stage in (without_repeats, near_duplicate_filter, lambda d: quality_filter(d, labels), lambda d: toxicity_filter(d, labels)):
+        assert stage(docs).columns == docs.columns
+    assert without_repeats(docs.select("doc_id", "text")).columns == ["doc_id", "text"]
+
+
 def test_run(spark, tmp_path):
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(2000)]

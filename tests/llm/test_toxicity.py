@@ -105,4 +105,4 @@ def test_very_long_text(spark):
 def test_without_labels_or_rows(spark):
     none, labels = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity(none, labels).collect() == []
-    assert [r.score for r in toxicity(spark.createDataFrame([(1, "a"), (1, "a")], "doc_id long, text string"), labels).collect()] == [0.5, 0.5]
+    assert [r.score for r in toxicity(spark.createDataFrame([(1, "a"), (1, "a")], "doc_id long, text string"), labels).collect()] == [0.25, 0.25]
