@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
 columns of documents.  Each result is written as Parquet and read again, so a lost executor costs one stage at most.
+
+Defined results, in every stage: an empty table gives an empty result; columns other than those of documents are ignored;
+null languages, sources and counts are kept as they are; null ids sort first where ids are compared, and have no labels.
 """
 
 from __future__ import annotations
@@ -18,22 +21,29 @@ from tessera.llm.toxicity import toxicity_filter
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go: null, empty and very short texts among them; repeated rows go or stay together."""
     return quality_filter(docs, table(spark, sf_dir, "labels")).select(DOC_COLUMNS)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go; null and empty texts, which no word speaks against, stay; repeated rows go or stay together."""
     return toxicity_filter(docs, table(spark, sf_dir, "labels")).select(DOC_COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the smallest id stays, once; texts without words are one group; rows that repeat an id with other
+    texts are told apart."""
     return near_duplicate_filter(docs).select(DOC_COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 100 bytes that start earlier too are cut out, whole characters only, and ``n_chars`` is counted anew; a null text
+    becomes empty, one that is repeated as a whole too; no row goes."""
     return without_repeats(docs).select(DOC_COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece, as ``pack`` gives them; a null or empty text is one piece of the end id."""
     return pack(docs, vocabulary("word_bpe_49k.json"))
 
 
