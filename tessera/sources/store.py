@@ -15,7 +15,7 @@ import json
 import threading
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -176,7 +176,8 @@ class Store:
     def _read(self, paths: list[str]) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], ROW)
-        return self.spark.read.schema(ROW).option("basePath", f"{self.root}/data").parquet(*paths)
+        # pages carry checksums, which a read compares
+        return self.spark.read.schema(ROW).option("basePath", f"{self.root}/data").option("parquet.page.verify-checksum.enabled", "true").parquet(*paths)
 
     # writes
     def commit(self, rows: DataFrame) -> int:
@@ -328,6 +329,12 @@ class Store:
             out |= {f"level_{level}_files": len(own), f"level_{level}_bytes": sum(r["bytes"] for r in own)}
         return out
 
+    def samples(self, every: float = 2.0) -> Iterator[dict[str, float]]:
+        """The metrics again and again, each with its time, for charts."""
+        while not self._closed:
+            yield {"time": time.time(), **self.metrics()}
+            time.sleep(every)
+
     # maintenance
     def due(self, old: dict[str, Any]) -> tuple[list[dict[str, Any]], int] | None:
         """(runs, level to write) of the compaction that is due: level 0 into 1 from four runs on, else beyond the limit the

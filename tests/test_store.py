@@ -220,6 +220,30 @@ def test_generator(spark, tmp_path):
     assert store.snapshot("gen").count() == 300
 
 
+def test_damaged_pages_are_noticed(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "db"))
+    store.insert_frame("c", spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("_id"), "id"))
+    part = sorted((tmp_path / "db").glob("data/*/*/*/part-*.parquet"))[0]
+    data = bytearray(part.read_bytes())
+    for i in range(1000, 1100):
+        data[i] ^= 0x55
+    part.write_bytes(bytes(data))
+    for crc in part.parent.glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(Exception, match="(?i)checksum|crc|corrupt"):
+        store.snapshot().collect()
+
+
+def test_metrics_are_polled(spark, tmp_path):
+    store, seen = Store(spark, str(tmp_path / "db")), []
+    for sample in store.samples(0.01):
+        seen.append(sample)
+        store.put("c", str(len(seen)), {})
+        if len(seen) == 3:
+            store.close()
+    assert [s["puts"] for s in seen] == [0, 1, 2] and seen[0]["time"] < seen[2]["time"]
+
+
 def test_stream_state_stays_small(spark, tmp_path):
     rows = spark.range(2600).select(F.pmod("id", F.lit(7)).alias("k"), "id", (F.col("id") % 5 == 0).alias("gone"))
     rows.repartitionByRange(26, "id").write.parquet(f"{tmp_path}/in")
