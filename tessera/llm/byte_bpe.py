@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .memo import Memo
 from .spines import NEVER, Spines
 
@@ -31,6 +32,7 @@ class ByteBpe:
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.longest = max(map(len, ranks))
         self.spines = Spines(lambda token: ranks.get(token, NEVER), self.merge)
+        self.makes = Memo(self.spines.makes, len(ranks) + 1)  # whether a token encodes to itself
         self.pieces = Memo(self._piece)
 
     @classmethod
@@ -50,13 +52,15 @@ class ByteBpe:
 
     def extend(self, data: bytes, last: list[bytes], until: int | None = None) -> list[bytes]:
         """``last[i]``: the last token of data[:i]; goes on for the prefixes that ``last`` doesn't have."""
-        ranks, near, makes = self.ranks, self.spines.neighbours, self.spines.makes
+        ranks, near, known, makes, longest = self.ranks, self.spines.neighbours, self.spines.known, self.makes, self.longest
         for i in range(len(last), (len(data) if until is None else until) + 1):
-            for j in range(max(0, i - self.longest), i):
+            for j in range(i - longest if i > longest else 0, i):
                 token = data[j:i]
-                if token in ranks and (near(last[j], token) if j else makes(token)):
-                    last.append(token)
-                    break
+                if token in ranks:
+                    fits = known.get((last[j], token)) if j else makes[token]
+                    if fits or (fits is None and near(last[j], token)):
+                        last.append(token)
+                        break
         return last
 
     def edit(self, data: bytes, last: list[bytes], start: int, end: int, new: bytes) -> tuple[bytes, list[bytes]]:
@@ -119,7 +123,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.encode(t or "") for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, ids array<long>").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "id long, ids array<long>").withColumnRenamed("id", id_col)
 
 
 def roundtrip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,4 +136,4 @@ def roundtrip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "d
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

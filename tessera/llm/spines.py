@@ -20,7 +20,7 @@ class Spines:
         self.rank, self.merge = rank, merge
         self._right: dict = {}
         self._left: dict = {}
-        self._known: dict = {}
+        self.known: dict = {}  # of pairs of tokens, whether they stay neighbours
 
     def halves(self, token):
         """The two tokens whose merge makes it; none if it is a symbol; False if merging never makes it."""
@@ -43,11 +43,11 @@ class Spines:
 
     def neighbours(self, a, b) -> bool:
         key = a, b
-        known = self._known.get(key)
+        known = self.known.get(key)
         if known is None:
-            if len(self._known) > 500_000:
-                self._known.clear()
-            known = self._known[key] = self._apart(a, b)
+            if len(self.known) > 500_000:
+                self.known.clear()
+            known = self.known[key] = self._apart(a, b)
         return known
 
     def makes(self, token) -> bool:
