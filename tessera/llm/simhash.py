@@ -469,7 +469,7 @@ def tables_needed(bits_all: int, share: float, radius: int, bits: int, missed: f
     return next(t for t in itertools.count(1) if 1 - chance.sum() + (chance * apart**t).sum() <= missed)
 
 
-def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words64: int = 4, missed: float = 0.001, sigmas: float = 4.0):
+def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words64: int = 4, missed: float = 0.0001, sigmas: float = 4.5):
     """Components of texts whose sets of shingles are alike: (a row for each different set, (node, root)).
 
     A similarity of ``similarity`` means a share of bits in which fingerprints differ on average (``bit_share``); texts
