@@ -8,7 +8,7 @@ through its element weigh less.  A container's worth is its points, discounted b
 of the greatest worth is kept (an article, then a main, before others that come near), with those siblings that score
 well or are plain long paragraphs.  Inside it a marked element stays if it holds most of the container's points; a
 doubtful mark (a word of texts too, or one word of several) gives way to evidence already: few links, and a paragraph,
-a heading or much text.  What HTML itself says is no main text (``nav``, ``aside``, ``form``, scripts, hidden elements,
+a heading or much text; a mark of what others have put there (adverts, reader comments) gives way to nothing.  What HTML itself says is no main text (``nav``, ``aside``, ``form``, scripts, hidden elements,
 landmark roles ...) never scores.  A page without any points gives all its other text.
 
 All passes are linear in the page: elements know their nearest open paragraph, cell and row, and sums run once up the
@@ -51,11 +51,13 @@ MARKS = frozenset(
 )
 #: Marks that are words of texts too.
 DOUBTFUL = frozenset("side notice notices alert disclaimer promotion discussion replies respond share sharing social related recommended recommendations subscription copyright skip header".split())
+#: Marks of what is written or put there by others, however much of it there is.
+FOREIGN = frozenset("ad ads advert advertisement adverts advertising adsense sponsor sponsored sponsors promo promoted cookie cookies consent gdpr comment comments commentlist disqus newsletter subscribe signup login popup modal".split())
 #: Words that say nothing beside a mark: ``ad-box`` is as sure as ``ad``.
 PLAIN = frozenset("area bar block body bottom box btn button buttons container content global group holder inner item items js left link links list main module outer page panel post right section site slot text the top unit wrap wrapper".split())
-SURE, UNSURE = 2, 1
+FIRM, SURE, UNSURE = 3, 2, 1
 #: What points are worth behind an element with a mark.
-WEIGHT = {0: 1.0, UNSURE: 0.6, SURE: 0.1}
+WEIGHT = {0: 1.0, UNSURE: 0.6, SURE: 0.1, FIRM: 0.1}
 #: Points of an article or main count so many times.
 TRUSTED = 3
 #: A container that comes so near to the best one may be chosen for its element.
@@ -81,10 +83,11 @@ _END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "apart", "mark", "points", "all", "chars", "linked", "plain", "p", "cell", "row", "keep")
+    __slots__ = ("tag", "parent", "apart", "mark", "points", "all", "chars", "linked", "plain", "p", "cell", "row", "foreign")
 
     def __init__(self, tag: str, parent: Node | None, apart: bool, mark: int = 0):
-        self.tag, self.parent, self.apart, self.mark, self.plain, self.keep = tag, parent, apart, mark, False, True
+        self.tag, self.parent, self.apart, self.mark, self.plain = tag, parent, apart, mark, False
+        self.foreign = mark == FIRM or bool(parent and parent.foreign)
         self.points, self.all, self.chars, self.linked = 0.0, 0.0, 0, 0
         new = parent is None or tag in SCOPE or apart != parent.apart
         self.p = self if tag == "p" else None if new or tag in ("td", "th") else parent.p
@@ -106,7 +109,7 @@ def classify(tag: str, attributes: str) -> tuple[bool, int]:
                 words = [w.lower() for w in _WORDS.findall(one)]
                 if not MARKS.isdisjoint(words):
                     sure = all(w in MARKS or w in PLAIN for w in words) and any(w in MARKS and w not in DOUBTFUL for w in words)
-                    mark = max(mark, SURE if sure else UNSURE)
+                    mark = max(mark, (UNSURE if not sure else SURE if FOREIGN.isdisjoint(words) else FIRM))
     return apart, UNSURE if tag == "header" and not mark else mark
 
 
@@ -167,7 +170,7 @@ class Page:
                     muted = muted if deep else ""
                 elif not closing and not m.group(3).endswith("/"):
                     apart, mark = classify(tag, m.group(3))
-                    if apart or mark == SURE:
+                    if apart or mark >= SURE:
                         muted, deep = tag, 1
                 if tag == "a" and not muted:
                     links = 0 if closing else 1
@@ -196,7 +199,7 @@ class Page:
         flush()
 
     def score(self) -> list[Node]:
-        """Points, characters and link characters of all elements; those that have points, in page order."""
+        """Points, characters and link characters of all elements; those that may be chosen, in page order."""
         number = {id(x): k for k, x in enumerate(self.nodes)}
         below = [0.0] * len(self.nodes)  # weighted points of all paragraphs in an element
         for node, text, linked in self.blocks:
@@ -227,7 +230,7 @@ class Page:
             x.parent.chars += x.chars
             x.parent.linked += x.linked
             x.parent.plain = x.parent.plain or (x.plain and (x.tag not in HEADINGS or x.parent.mark == UNSURE))
-        return [x for x in self.nodes if x.points > 0]
+        return [x for x in self.nodes if x.points > 0 and not x.foreign]
 
     def best(self, scored: list[Node]) -> Node:
         most = max(map(_worth, scored))
@@ -246,8 +249,9 @@ def _worth(x: Node) -> float:
 
 
 def _stays(x: Node, holder: float) -> bool:
-    """Whether a marked element inside the chosen container is text: it holds most of its points, or its mark is unsure and it reads like text."""
-    if x.all > 0.5 * holder:
+    """Whether a marked element inside the chosen container is text: it holds most of its points (a layout named after its
+    parts), or its mark is unsure and it reads like text."""
+    if x.mark < FIRM and x.all > 0.5 * holder:
         return True
     return x.mark == UNSURE and x.linked <= 0.3 * x.chars and (x.plain or x.chars >= 200)
 
@@ -268,7 +272,7 @@ def main_text(page: str, scoring: bool = True) -> str:
         if up in inside:
             if not x.mark or _stays(x, best.all):
                 inside.add(id(x))
-        elif x.parent is best.parent and x.tag not in ("html", "body"):
+        elif x.parent is best.parent and x.tag not in ("html", "body") and x.mark < SURE:
             plain = x.tag == "p" and x.chars > 80 and x.linked < 0.25 * x.chars
             if not (x.tag in SCOPE and x.linked > 0.7 * x.chars) and (plain or (_worth(x) >= least and x.linked < 0.5 * x.chars)):
                 beside.add(id(x))

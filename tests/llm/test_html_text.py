@@ -54,6 +54,13 @@ def test_points_decide_without_article_or_main():
     assert main_text(page(tiny)) == "T\nTiny."
 
 
+def test_many_comments_and_layouts():
+    comments = f"<div id='comments'>{f'<p>{LONG}</p>' * 30}</div>"
+    for body in (f"<article><p>{LONG}</p>{comments}</article>", f"<main><article><p>{LONG}</p></article>{comments}</main>", f"<div><div><p>{LONG}</p></div>{comments}</div>"):
+        assert main_text(page(body)) == LONG
+    assert main_text(page(f"<main><div class='content-sidebar-wrap'><p>{LONG}</p><p>{LONG}</p></div></main>")) == f"{LONG}\n{LONG}"
+
+
 def test_odd_quotes():
     assert main_text('<article><p title="oops>text</p><p class="x">more, or less</p></article>') == "text\nmore, or less"
     assert main_text("<article><p title='a > \"b'>it's</p><p title=\"<i>\">x</p></article>") == "it's\nx"

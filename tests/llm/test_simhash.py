@@ -142,3 +142,13 @@ def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(30)] + [(5, 5)]
     got = dict(connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(12)
+    for n, m in ((200, 120), (60, 200), (400, 390)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(7, k) for k in range(100, 100 + m // 4)]  # a hub
+        linked = set(edges) | {(b, a) for a, b in edges}
+        want = roots(max(map(max, edges)) + 1, lambda i, j: (i, j) in linked)
+        got = dict(connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
+        assert got == {k: want[k] for k in {x for a, b in edges if a != b for x in (a, b)}}
