@@ -86,7 +86,7 @@ def collections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def distinct_collections(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.distinct_collections(table(spark, d, "events"), F.col("event_type"), F.col("event_id"))
+    return catalog.distinct_collections(table(spark, d, "orders"), F.col("o_orderpriority"), F.col("o_orderkey"))
 
 
 def run_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -226,7 +226,7 @@ def oracle_sql() -> dict[str, str]:
         "delete_keys": "SELECT * FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders g WHERE g.o_orderstatus = 'F' AND g.o_orderkey = o.o_orderkey)",
         "restore_roundtrip": "SELECT * FROM nation",
         "collections": "SELECT name, count(*) AS docCount, CAST(0 AS BIGINT) AS byteSize FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS name FROM {n}" for n in NAMES) + ") GROUP BY name ORDER BY name",
-        "distinct_collections": "SELECT DISTINCT event_type AS collection FROM (SELECT event_type FROM events ORDER BY event_id LIMIT 10000)",
+        "distinct_collections": "SELECT DISTINCT o_orderpriority AS collection FROM (SELECT o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 10000)",
         "run_stats": _RUNS,
         "run_overlap": f"""WITH r AS ({_RUNS}) SELECT a.run AS a_run, a.min_key AS a_min_key, a.max_key AS a_max_key, a.key_count AS a_key_count,
           b.run AS b_run, b.min_key AS b_min_key, b.max_key AS b_max_key, b.key_count AS b_key_count
