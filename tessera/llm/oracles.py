@@ -91,7 +91,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_suffix_dedup": suffix_dedup(),
         "op9_quality_rules": quality(),
         "law_nearest": "SELECT vec_id AS query_id, least(20, (SELECT count(*) FROM embeddings) - 1) AS n, true AS exact, true AS ordered FROM embeddings WHERE vec_id % 20 = 0",
-        "law_packing": "SELECT true AS fits, true AS whole, count(*) AS documents FROM documents",
+        "law_packing": "SELECT 'sequences' AS of, true AS sound, CAST(NULL AS BIGINT) AS n UNION ALL SELECT 'documents', true, count(*) FROM documents",
         "law_token_counts": "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, true AS limit_holds FROM documents",
         "law_byte_bpe": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents",
         "law_toxicity": fold(),

@@ -89,13 +89,16 @@ def law_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def law_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of op3: whether sequences are gapless and fit, whether documents are whole, and the number of documents."""
+    """Of op3: whether all sequences are gapless and fit, and whether all documents are whole, with their number."""
     pieces = op3_packing(spark, sf_dir)
-    lines = lambda key, order: F.array_sort(F.collect_list(F.struct(order, "length"))).alias("own")
-    gapless = lambda field: F.aggregate("own", F.lit(0).cast("long"), lambda at, x: F.when(x[field] == at, at + x["length"]).otherwise(F.lit(-(2**40))))
-    sequences = pieces.groupBy("sequence_id").agg(lines("sequence_id", "offset")).agg(F.bool_and(gapless("offset").between(1, 2048)).alias("fits"))
-    documents = pieces.groupBy("doc_id").agg(lines("doc_id", "start")).agg(F.bool_and(gapless("start") > 0).alias("whole"), F.count("*").alias("documents"))
-    return sequences.join(documents)
+
+    def gapless(key: str, order: str, most: int) -> DataFrame:
+        own = F.array_sort(F.collect_list(F.struct(order, "length"))).alias("own")
+        end = F.aggregate("own", F.lit(0).cast("long"), lambda at, x: F.when(x[order] == at, at + x["length"]).otherwise(F.lit(-(2**40))))
+        return pieces.groupBy(key).agg(own).agg(F.bool_and(end.between(1, most)).alias("sound"), F.count("*").alias("n"))
+
+    sequences = gapless("sequence_id", "offset", 2048).select(F.lit("sequences").alias("of"), "sound", F.lit(None).cast("long").alias("n"))
+    return sequences.unionByName(gapless("doc_id", "start", 2**40).select(F.lit("documents").alias("of"), "sound", "n"))
 
 
 def law_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
