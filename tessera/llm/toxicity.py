@@ -62,7 +62,6 @@ SEPARATORS = " .-_*~·/\\'​‌‍­"
 COST_SIGN, COST_SKIP, COST_REPEAT, COST_DROP = 1.0, 0.7, 1.0, 14.0
 
 _WORD = re.compile(r"[^\W\d_]+")
-_TOKEN = re.compile(r"\S+")
 #: Single characters with one to three separators, mixed ones too, between each two.
 _APART = re.compile(r"(?<!\S)[^\s.\-_~·/\\](?:[ .\-_*~·/\\]{1,3}[^\s.\-_~·/\\,!?;:*](?![^\s.\-_*~·/\\,!?;:#$%&])){2,}")
 _RUN = re.compile(r"([^\W\d_])\1\1")
