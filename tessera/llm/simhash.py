@@ -3,8 +3,9 @@
 Fingerprints are reduced to different ones first, so copies cost nothing.  Two fingerprints that differ in at most
 ``radius`` bits agree in at least one of ``radius + 1`` bands; each fingerprint is sent once for every band, and those
 that agree in the leading bits of a band - as few as leave ``GROUP`` fingerprints to a key - are indexed together.  The
-index moves the band's bits to the front and sorts by Gray rank, where near codes are neighbours, joins ``FAN``
-neighbours at a time and keeps of each node the bits that all below share; level by level up to one node for each key.
+band's bits are moved to the front and one global sort, by ranges, brings each band's codes into the order of their Gray
+ranks, where near codes are neighbours and those of a key lie together.  The index joins ``FAN`` neighbours at a time
+and keeps of each node the bits that all below share; level by level up to one node for each key.
 Two nodes whose shared bits differ too often, or anywhere in the band, are pruned with all that is below them; only
 surviving leaves are compared bit by bit.  Links join components at once, and pairs of leaves that are in one component
 already are skipped, so a dense group never emits its pairs: an index returns a star for each component.
@@ -253,35 +254,58 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def banded_keys(key: np.ndarray, known: np.ndarray, code: np.ndarray, radius: int, bits: int) -> Iterator[tuple[np.ndarray, ...]]:
+def bands(known: int, radius: int) -> list[list[int]]:
+    """The bits that ``known`` leaves free, from the highest, cut into ``radius + 1`` bands."""
+    free = [b for b in reversed(range(64)) if not known >> b & 1]
+    edges = [len(free) * i // (radius + 1) for i in range(radius + 2)]
+    return [free[x:y] for x, y in zip(edges, edges[1:])]
+
+
+def _mask(bits: list[int]) -> int:
+    return sum(1 << b for b in bits)
+
+
+def first_keys(code: np.ndarray, radius: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each band (key, band): the key is the number of the band and the Gray rank of its first ``bits`` bits, so that
+    order by key and Gray rank is that by band and Gray rank alone."""
+    for t, own in enumerate(bands(0, radius)):
+        lead = own[:bits]
+        rank = gray_rank(bits_first(code, _mask(lead)) >> U(64 - len(lead))) if lead else np.zeros(len(code), U)
+        yield (U(t) << U(48)) | rank, np.full(len(code), _mask(own), U)
+
+
+def finer_keys(key: np.ndarray, known: np.ndarray, code: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(rows, key, band): rows of one key that differ in at most ``radius`` bits and in none of ``known`` meet again.
 
-    The bits that ``known`` leaves free are cut into ``radius + 1`` bands, in at least one of which such rows agree.  The
-    first ``bits`` of a band make the key, with the old key and all known bits.  Keys are hashed; a collision costs
-    comparisons only.  ``band`` has the known bits and the band's.
+    In at least one of the bands of the free bits such rows agree; it makes the key, with the old key and all known
+    bits.  Keys are hashed; a collision costs comparisons only.  ``band`` has the known bits and the band's.
     """
     for mask in np.unique(known).tolist():
         rows = np.flatnonzero(known == U(mask))
-        free = [b for b in reversed(range(64)) if not mask >> b & 1]
-        edges = [len(free) * i // (radius + 1) for i in range(radius + 2)]
         old = _mix(key[rows]) ^ (code[rows] & U(mask))
-        for t, (x, y) in enumerate(zip(edges, edges[1:]), 1):
-            lead = sum(1 << b for b in free[x : min(y, x + bits)])
-            band = mask | sum(1 << b for b in free[x:y])
-            yield rows, _mix(_mix(old + U(t)) ^ (code[rows] & U(lead))), np.full(len(rows), band, U)
+        for t, own in enumerate(bands(mask, radius), 1):
+            yield rows, _mix(_mix(old + U(t)) ^ (code[rows] & U(_mask(own)))), np.full(len(rows), mask | _mask(own), U)
+
+
+def _send(radius: int, bits: int):
+    """(node, fp) -> the row under each of its first keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, band in first_keys(b.column("fp").to_numpy().view(U), radius, bits):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("node"), b.column("fp"), pa.array(band.view(np.int64))], names=["key", "node", "fp", "band"])
+
+    return run
 
 
-def _send(radius: int, bits: int, again: bool):
-    """(node, fp), or with ``again`` (key, node, fp, band) -> the rows under each of their keys."""
+def _send_again(radius: int):
+    """(key, node, fp, band) -> the rows under each of their finer keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, code = (b.column(k).to_numpy() for k in ("node", "fp"))
-            none = np.zeros(b.num_rows, U)
-            old = [b.column(k).to_numpy().view(U) for k in ("key", "band")] if again else [none, none]
-            for rows, key, band in banded_keys(*old, code.view(U), radius, bits):
-                columns = (key.view(np.int64), node[rows], code[rows], band.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "fp", "band"])
+            node, fp = (b.column(k).to_numpy() for k in ("node", "fp"))
+            for rows, key, band in finer_keys(*(b.column(k).to_numpy().view(U) for k in ("key", "band", "fp")), radius):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key.view(np.int64), node[rows], fp[rows], band.view(np.int64))], names=["key", "node", "fp", "band"])
 
     return run
 
@@ -325,14 +349,14 @@ def fingerprint_components(prints: DataFrame, radius: int = 3) -> DataFrame:
     nodes = written(prints.groupBy("fp").agg(F.min("id").alias("node")), "nodes")
     n = nodes.count()
     kind, edges, order = "key long, node long, fp long, band long", [], ["key", "node", "fp", "band"]
-    sent = nodes.select("node", "fp").mapInArrow(_send(radius, max(0, n.bit_length() - GROUP), False), kind)
+    sent, dealt = nodes.select("node", "fp").mapInArrow(_send(radius, max(0, n.bit_length() - GROUP)), kind), DataFrame.repartitionByRange
     while True:  # ends: a key that has few free bits left can't be large
         large = _larger(sent, ROWS) if n > ROWS else None
         few = sent if large is None else sent.join(large, "key", "left_anti")
-        edges.append(few.select(*order).repartition("key").sortWithinPartitions("key").mapInArrow(lean(_stars(radius, banded=True), None), "u long, v long"))
+        edges.append(dealt(few.select(*order), "key").sortWithinPartitions("key").mapInArrow(lean(_stars(radius, banded=True), None), "u long, v long"))
         if large is None:
             break
-        sent = sent.join(large, "key", "left_semi").select(*order).mapInArrow(_send(radius, 64, True), kind)
+        sent, dealt = sent.join(large, "key", "left_semi").select(*order).mapInArrow(_send_again(radius), kind), DataFrame.repartition
     edges = functools.reduce(DataFrame.unionAll, edges)
     roots = connected_components(edges)
     return nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))

@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 
 from tessera.llm import simhash
-from tessera.llm.simhash import bits_first, fingerprint, fingerprint_components, front, gray_rank, index_components, near_duplicate_filter, simhash_dedup
+from tessera.llm.simhash import bits_first, first_keys, fingerprint, fingerprint_components, front, gray_rank, index_components, near_duplicate_filter, simhash_dedup
 from tessera.llm.components import connected_components
 
 
@@ -85,6 +85,16 @@ def test_band_of_the_index_against_all_pairs():
     assert index_components(np.zeros(len(turned), np.int64), turned, 3, np.full(len(turned), front(16), np.uint64)).tolist() == want
 
 
+def test_first_keys_follow_the_gray_order():
+    rng = np.random.default_rng(9)
+    code = rng.integers(0, 2**63, 3000, np.uint64) * np.uint64(2) + rng.integers(0, 2, 3000, np.uint64)
+    for t, (key, band) in enumerate(first_keys(code, 3, 5)):
+        turned = bits_first(code, int(band[0]))
+        by = np.argsort(gray_rank(turned), kind="stable")
+        assert (np.diff(key[by].astype(np.int64)) >= 0).all() and len(set(key.tolist())) == 32 and set((key >> np.uint64(48)).tolist()) == {t}
+    assert sum(int(b[0]) for _, b in first_keys(code, 3, 5)) == 2**64 - 1
+
+
 def test_upper_nodes_prune_whole_groups():
     rng = np.random.default_rng(8)
     code = np.unique(rng.integers(0, 2**63, 4096, np.uint64))
