@@ -24,7 +24,7 @@ from .memo import Memo
 
 END = b"\xff"
 #: Words that are remembered in each of two generations.
-WORDS = 60_000
+WORDS = 150_000
 #: Fixed by the file's own pre-tokenizer; white space is what Unicode says.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 
