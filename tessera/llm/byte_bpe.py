@@ -3,7 +3,8 @@
 Of every prefix of a piece the table keeps the one token that can end its encoding: a token that fits there and
 whose predecessor - the token already kept for the shorter prefix - stays its neighbour when the two are encoded
 together.  So a piece is encoded in one pass, bytes can be appended without looking back further than the longest
-token, and after an edit the table is recomputed only until it runs as before again.
+token, and after an edit the table is recomputed only until it runs as before again.  An automaton over the prefixes of
+tokens, built as texts walk it, gives the tokens that end at a byte: no other ones are tried.
 
 Defined results: null text is empty; an empty text has no tokens; null ids stay null; rows are independent, so
 repeated rows and empty tables need nothing special.
@@ -25,6 +26,10 @@ from .memo import Memo
 from .spines import NEVER, Spines
 
 
+#: Steps of the automaton that are remembered.
+STEPS = 1_000_000
+
+
 class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -33,6 +38,9 @@ class ByteBpe:
         self.longest = max(map(len, ranks))
         self.spines = Spines(lambda token: ranks.get(token, NEVER), self.merge)
         self.makes = Memo(self.spines.makes, len(ranks) + 1)  # whether a token encodes to itself
+        self.prefixes = {t[:n] for t in ranks for n in range(len(t) + 1)}
+        self.nodes: dict[bytes, tuple[dict, tuple, bytes]] = {}  # of a prefix: the nodes after each byte, the tokens that end with it, the prefix
+        self.steps = 0
         self.pieces = Memo(self._piece)
 
     @classmethod
@@ -50,17 +58,38 @@ class ByteBpe:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def node(self, seen: bytes) -> tuple[dict, tuple, bytes]:
+        """Of the longest end of ``seen`` that begins a token; its tokens, with their lengths, are those that encode to themselves, longest first."""
+        while seen not in self.prefixes:
+            seen = seen[1:]
+        if seen not in self.nodes:
+            self.nodes[seen] = {}, tuple((t, len(t)) for t in (seen[i:] for i in range(len(seen))) if t in self.ranks and self.makes[t]), seen
+        return self.nodes[seen]
+
+    def step(self, node: tuple[dict, tuple, bytes], byte: int) -> tuple[dict, tuple, bytes]:
+        if self.steps >= STEPS:
+            self.nodes.clear()
+            self.steps = 0
+            node = self.node(node[2])
+        self.steps += 1
+        after = node[0][byte] = self.node(node[2] + bytes((byte,)))
+        return after
+
     def extend(self, data: bytes, last: list[bytes], until: int | None = None) -> list[bytes]:
         """``last[i]``: the last token of data[:i]; goes on for the prefixes that ``last`` doesn't have."""
-        ranks, near, known, makes, longest = self.ranks, self.spines.neighbours, self.spines.known, self.makes, self.longest
-        for i in range(len(last), (len(data) if until is None else until) + 1):
-            for j in range(i - longest if i > longest else 0, i):
-                token = data[j:i]
-                if token in ranks:
-                    fits = known.get((last[j], token)) if j else makes[token]
-                    if fits or (fits is None and near(last[j], token)):
-                        last.append(token)
-                        break
+        near, known, start = self.spines.neighbours, self.spines.known, len(last)
+        node = self.node(data[max(0, start - 1 - self.longest) : start - 1])
+        for i, byte in enumerate(data[start - 1 : until], start):
+            node = node[0].get(byte) or self.step(node, byte)
+            for token, n in node[1]:
+                if i == n:
+                    last.append(token)
+                    break
+                pair = last[i - n], token
+                fits = known.get(pair)
+                if fits or (fits is None and near(*pair)):
+                    last.append(token)
+                    break
         return last
 
     def edit(self, data: bytes, last: list[bytes], start: int, end: int, new: bytes) -> tuple[bytes, list[bytes]]:

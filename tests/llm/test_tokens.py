@@ -87,6 +87,29 @@ def test_byte_bpe_equals_the_library(spark, docs):
     assert got == {(i, len(e := library.encode_ordinary(t or "")), sha(" ".join(map(str, e)).encode()), sha((t or "").encode())) for i, t in docs[1]}
 
 
+def test_byte_bpe_tries_only_tokens_that_end_there(monkeypatch):
+    class Counted(dict):
+        looked = 0
+
+        def __contains__(self, token):
+            self.looked += 1
+            return super().__contains__(token)
+
+    own = ByteBpe.load(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    data = b"unanhestionthndor" * 20
+    table = own.extend(data, [b""])
+    own.ranks = Counted(own.ranks)
+    assert own.extend(data, [b""]) == table and own.tokens(data) == own.merge(data)
+    own.ranks.looked = 0
+    own.extend(data, [b""])
+    assert own.ranks.looked <= len(data)
+    monkeypatch.setattr("tessera.llm.byte_bpe.STEPS", 7)  # forgets all the time
+    own.nodes.clear()
+    for t in texts(200, 8):
+        assert own.tokens(t.encode()) == own.merge(t.encode())
+        assert own.steps <= 7
+
+
 def test_fullest_against_all_subsets():
     rng = random.Random(1)
     for _ in range(300):
