@@ -182,7 +182,8 @@ def _witnesses(counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(counts)
         for b in batches:
-            rows = [(t, near, toxic) for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for t, near in terms(restorer.words(text or "")).items()]
+            seen = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+            rows = dict.fromkeys((t, near, toxic) for text, toxic in seen for t, near in terms(restorer.words(text or "")).items())  # copies give the same once
             term, near, toxic = zip(*rows) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(near, pa.int64()), pa.array(toxic, pa.int32())], names=["word", "near", "toxic"])
 
@@ -195,6 +196,16 @@ def bounds(n: Column, sigmas: float = SIGMAS) -> tuple[Column, Column]:
     return middle - half, middle + half
 
 
+def counted(pairs: DataFrame) -> DataFrame:
+    """Per word the different neighbours in toxic documents and those in others only.
+
+    One shuffle, by word, serves both groupings: it takes less of an executor's memory than grouping before it would.  A word has
+    no more rows than the sample has documents (of rows that repeat an id, one in each batch).
+    """
+    by_pair = pairs.repartition("word").groupBy("word", "near").agg(F.max("toxic").alias("toxic"))
+    return by_pair.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+
+
 def squeeze(word: str) -> str:
     """Decoding drops repeats, so restored words are compared without double letters."""
     return re.sub(r"(.)\1+", r"\1", word)
@@ -262,14 +273,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         counts[r.gram] = r.n  # at most 28^3 rows
     usable = F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)
     known = labels.where(usable).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
-    seen = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-    prior = (seen.get(1, 0) + 0.5) / (sum(seen.values()) + 2)  # a quarter where nothing is known, so that nothing is rejected
-    if not seen.get(1) or not seen.get(0):
+    n, *seen = known.agg(F.count("*"), *(F.count_if(F.col("toxic") == t) for t in (0, 1))).first()
+    prior = (seen[1] + 0.5) / (n + 2)  # a quarter where nothing is known, so that nothing is rejected
+    if not all(seen):
         return Model(counts, {}, prior)
     chosen = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("id"), "id").limit(sample) for t in (0, 1)]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text).join(F.broadcast(chosen[0].unionAll(chosen[1])), "id")  # 2 x sample rows at most
     pairs = rows.select("text", "toxic").mapInArrow(lean(_witnesses(counts)), "word string, near long, toxic int")
-    by_word = pairs.groupBy("word", "near").agg(F.max("toxic").alias("toxic")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    by_word = counted(pairs)
     size = {t: min(sample, seen[t]) for t in (0, 1)}
     lift = bounds(F.col("bad"))[0] / size[1] / (bounds(F.col("good"))[1] / size[0])
     odds = F.col("lift") * (prior / (1 - prior))

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from tessera.llm.toxicity import COST_DROP, COST_REPEAT, COST_SIGN, COST_SKIP, LETTERS, SEPARATORS, SIGNS, Restorer, count_trigrams, learn, toxicity, toxicity_filter
+from tessera.llm.toxicity import COST_DROP, COST_REPEAT, COST_SIGN, COST_SKIP, LETTERS, SEPARATORS, SIGNS, Restorer, _witnesses, count_trigrams, counted, learn, toxicity, toxicity_filter
 
 DISGUISED = [
     "you m0r0n there", "what an i d i o t he is", "such a m.o.r.o.n. again", "moooooron and", "1d10t", "an !diot", "an iddiot", "m o-r o n", "i  d i   o t", "mmoron", "m-0-r-0-n",
@@ -106,3 +106,20 @@ def test_without_labels_or_rows(spark):
     none, labels = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity(none, labels).collect() == []
     assert [r.score for r in toxicity(spark.createDataFrame([(1, "a"), (1, "a")], "doc_id long, text string"), labels).collect()] == [0.25, 0.25]
+
+
+def test_witnesses_are_grouped_in_one_shuffle(spark):
+    import pyarrow as pa
+
+    def rows(texts, toxic):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(toxic, pa.int32())], names=["text", "toxic"])
+        return [tuple(r.values()) for out in _witnesses(np.ones(LETTERS**3, np.int64))([batch]) for r in out.to_pylist()]
+
+    one, other = rows(["a fine day", "so fine a day"], [0, 1]), rows(["not a fine day"], [0])
+    assert sorted(rows(["a fine day"] * 500 + ["so fine a day"] * 500, [0] * 500 + [1] * 500)) == sorted(one)
+    got = counted(spark.createDataFrame(one + other + one, "word string, near long, toxic int"))
+    near = {}
+    for word, n, toxic in one + other:
+        near.setdefault(word, {})[n] = max(toxic, near.get(word, {}).get(n, 0))
+    assert {tuple(r) for r in got.collect()} == {(w, sum(x.values()), len(x) - sum(x.values())) for w, x in near.items()}
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
